@@ -18,12 +18,30 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagegrain.llm.fm_index import contamination_report
+
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagegrain.llm.slot_shards import shard_documents
 
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagegrain.llm.set_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagegrain.llm.lattice import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagegrain.llm.token_counts import token_counts
 
@@ -36,5 +54,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op4_slot_shards, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op3_fm_index, op4_slot_shards, op7_set_join, op8_lattice, op9_token_counts, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
