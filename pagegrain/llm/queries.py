@@ -18,6 +18,12 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op2_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagegrain.llm.lm_trie import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagegrain.llm.fm_index import contamination_report
 
@@ -54,5 +60,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op3_fm_index, op4_slot_shards, op7_set_join, op8_lattice, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_lm_trie, op3_fm_index, op4_slot_shards, op7_set_join, op8_lattice, op9_token_counts, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}
