@@ -36,6 +36,12 @@ def op4_slot_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_host_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pagegrain.llm.host_suffix import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagegrain.llm.toxicity import toxicity_scores
 
@@ -66,5 +72,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_lm_trie, op3_fm_index, op4_slot_shards, op6_toxicity, op7_set_join, op8_lattice, op9_token_counts, op10_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_lm_trie, op3_fm_index, op4_slot_shards, op5_host_suffix, op6_toxicity, op7_set_join, op8_lattice, op9_token_counts, op10_packing)}
 ORACLE_SQL: dict[str, str] = {}

@@ -4,7 +4,7 @@ Two zstandard dictionaries are trained on a bounded sample of labelled documents
 text; the toxic one also holds the words that toxic documents use far more often, the ordinary one as many bytes of
 further ordinary words in their place. A window is one word between two halves of a carrier that stands in both
 dictionaries, so that a window never falls back to an uncompressed block and its length differs by the word alone. A
-window counts as toxic if the toxic dictionary explains it (length at most ``limit``) and saves ``gain`` bytes or more
+window counts as toxic if the toxic dictionary makes it at most ``limit`` bytes and saves ``gain`` bytes or more
 against the ordinary one; both thresholds, and the score for each number of toxic windows, are calibrated on the labels.
 """
 
@@ -27,8 +27,9 @@ from pagegrain.runtime import ship_package
 #: The most labelled rows to learn from, those with the smallest hashes of their ids.
 SAMPLE_ROWS = 6000
 FOLDS, COMMON_WORDS, LEVEL = 5, 2000, 9
-#: A toxic word occurs in this share of toxic documents at least, and its odds are so many times those in ordinary ones.
-LEAST_SHARE, LEAST_ODDS = 0.05, 4.5
+#: A toxic word occurs in so many toxic documents and this share of them at least, and its odds are so many times those in
+#: ordinary ones.
+LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 20.0
 CARRIER = b"@0123456789#"
 BINS = 6
 
@@ -66,6 +67,13 @@ def document_words(text: str | None) -> list[bytes]:
     return [w.word(i) for i in range(len(w))]
 
 
+def telling_words(vocabulary: list[bytes], df: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Words that tell toxic documents, the most telling first. ``df``: documents with each word, ordinary and toxic."""
+    odds = (df[1] + 0.5) / (n[1] + 1) / ((df[0] + 0.5) / (n[0] + 1))
+    good = np.flatnonzero((df[1] >= max(LEAST_DOCS, LEAST_SHARE * n[1])) & (odds >= LEAST_ODDS))
+    return [vocabulary[i] for i in good[np.lexsort((good, -df[1, good] * np.log(odds[good])))]]
+
+
 def fit(rows: Iterator[tuple[str | None, int]]) -> ToxicModel | None:
     """The model of some (text, 0 or 1); a text that is repeated with the same label counts once. None without both labels."""
     number: dict[bytes, int] = {}
@@ -83,11 +91,9 @@ def fit(rows: Iterator[tuple[str | None, int]]) -> ToxicModel | None:
     df = np.zeros((2, len(vocabulary)))
     for y, (ids, _) in zip(labels, found, strict=True):
         df[y, ids] += 1
-    odds = (df[1] + 0.5) / (n[1] + 1) / ((df[0] + 0.5) / (n[0] + 1))
-    telling = np.flatnonzero((df[1] >= max(5, LEAST_SHARE * n[1])) & (odds >= LEAST_ODDS))
-    telling = telling[np.argsort(-odds[telling], kind="stable")]
+    telling = telling_words(vocabulary, df, n)
     frequent = [vocabulary[i] for i in np.lexsort((np.arange(len(vocabulary)), -df[0])) if df[0, i]]
-    insult = b"".join(b" " + vocabulary[i] for i in telling)
+    insult = b"".join(b" " + w for w in telling)
     fill = b""
     for w in frequent[COMMON_WORDS:]:
         if len(fill) + len(w) < len(insult):
@@ -95,17 +101,19 @@ def fit(rows: Iterator[tuple[str | None, int]]) -> ToxicModel | None:
     common = b" " + b" ".join(frequent[:COMMON_WORDS][::-1]) + b" " + CARRIER + CARRIER
     model = ToxicModel(insult + common, fill.ljust(len(insult)) + common, 0, 0, ())
     size = lengths(model, vocabulary)
-    best = None
+    saved, tried = size[:, 1] - size[:, 0], []
     for gain in range(1, 9):
-        for limit in np.unique(size[telling, 0]).tolist():
-            flag = (size[:, 1] - size[:, 0] >= gain) & (size[:, 0] <= limit)
+        for limit in sorted({*np.unique(size[saved >= gain, 0])[:4].tolist(), int(size[:, 0].max())}):
+            flag = (saved >= gain) & (size[:, 0] <= limit)
             hits = np.array([int(counts[flag[ids]].sum()) for ids, counts in found])
-            right = int(((hits > 0) == (labels == 1)).sum())
-            if best is None or right > best[0] or right == best[0] and flag.sum() < best[1]:
-                best = (right, flag.sum(), gain, limit, hits)
-    if best is None:  # no word tells
+            right = max(int(((hits >= k) == (labels == 1)).sum()) for k in (1, 2, 3))
+            tried.append((right, int(flag.sum()), gain, limit, hits))
+    most = max(t[0] for t in tried)
+    slack = np.sqrt(max(1, len(labels) - most)) / 8
+    if not telling:
         return ToxicModel(model.toxic, model.ordinary, -1, 1, (float(n[1] / n.sum()),) * BINS)
-    _, _, gain, limit, hits = best
+    # of thresholds that are as good, within the error of their figure, those that flag the fewest words
+    _, _, gain, limit, hits = min((t for t in tried if t[0] >= most - slack), key=lambda t: (t[1], t[2], t[3]))
     scores, low = [], 0.0
     for k in range(BINS):
         some = hits == k if k < BINS - 1 else hits >= k
