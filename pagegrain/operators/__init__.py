@@ -1 +1 @@
-"""operators of the engine."""
+"""Operators that turn a column of pages into relations."""

@@ -1 +1 @@
-"""plans of the engine."""
+"""Plans of the engine: selectors and their compilation to DataFrame operations."""

@@ -1 +1,21 @@
-"""sources of the engine."""
+"""Readers of pages: files of text or bytes, and page tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def read_files(spark: SparkSession, paths: str | list[str], glob: str = "*") -> DataFrame:
+    """(path, content): whole files as bytes; decode or parse them with their encoding found from the bytes."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths).select("path", "content")
+
+
+def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, html): whole files as UTF-8."""
+    return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+
+
+def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page table: doc_id, url, html."""
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "url", "html")
