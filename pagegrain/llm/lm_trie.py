@@ -25,7 +25,7 @@ from pagegrain.llm.common import blocks, doc_texts, map_file, mix64, write_file
 from pagegrain.llm.words import NOT_SPACE, HashTable, Texts, runs
 from pagegrain.runtime import shared_folder, ship_package
 
-LEAST_COUNT, DISCOUNT, FOLDS, BLOCK = 2, 0.75, 10, 8 << 20
+LEAST_COUNT, DISCOUNT, FOLDS, BLOCK = 2, 0.75, 10, 4 << 20
 END = np.uint64(0xE4D0E4D0E4D0E4D0)  # stands for the end of a text among the hashes of words
 STEP = 2048  # quantised steps of a power of ten
 
@@ -170,7 +170,7 @@ class Vocabulary:
 class WordTable:
     """Numbers, counts and masses of the words met so far by a worker; emptied when it is full."""
 
-    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
+    def __init__(self, vocabulary: Vocabulary, most: int = 500_000):
         self.vocabulary, self.most = vocabulary, most
         self._clear()
 
