@@ -73,4 +73,53 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_store, op2_lm_trie, op3_fm_index, op4_slot_shards, op5_host_suffix, op6_toxicity, op7_set_join, op8_lattice, op9_token_counts, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
+_DECODED = r"""replace(replace(replace(replace(replace({}, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&amp;', '&')"""
+
+_OP3 = f"""
+with d as (select row_number() over () as r, doc_id, {_ALNUM} as w from documents),
+b as (select coalesce(item_id::varchar, 'null') as item, {_ALNUM} as w from benchmark),
+win as (select distinct item, list_slice(w, k, k + 9) as p from (select item, w, unnest(generate_series(1, greatest(1, len(w) - 9))) as k from b where len(w) > 0)),
+sizes as (select distinct len(p) as n from win),
+places as (select r, k, n, list_slice(w, k, k + n - 1) as p from (select r, w, n, unnest(generate_series(1, len(w) - n + 1)) as k from d, sizes where len(w) >= n)),
+hits as (select r, k, n, item from places join win using (p)),
+covered as (select r, count(distinct place) as n_hit from (select r, unnest(generate_series(k, k + n - 1)) as place from hits) group by r),
+found as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hits) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join covered using (r) left join found using (r)
+"""
+
+_OP5 = rf"""
+with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|\z)', 1) as h from pages),
+t as (select page_id, url, trim(regexp_replace({_DECODED.format("regexp_replace(regexp_replace(h, '</?(?:p|br|h1)>', ' ', 'g'), '<[^>]*>?', '', 'g')")}, '\s+', ' ', 'g')) as text from a)
+select page_id, url, text, length(text)::bigint as n_chars from t
+"""
+
+_COMPONENTS = """
+reach(a, b) as (select a, b from links union select reach.a, links.b from reach join links on reach.b = links.a)
+"""
+
+_OP7 = f"""
+with recursive d as (select doc_id, {_SPACED} as w from documents),
+s as (select distinct doc_id, list_slice(w, k, k + 3) as p from (select doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 3))) as k from d where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select x.doc_id as a, y.doc_id as b, count(*) as shared from s x join s y using (p) where x.doc_id <> y.doc_id group by all),
+links as (select a, b from pairs join sizes m on m.doc_id = a join sizes o on o.doc_id = b where 100 * shared >= 85 * (m.n + o.n - shared)),
+{_COMPONENTS}
+select doc_id, coalesce(n, 0)::bigint as n_shingles, least(doc_id, coalesce(low, doc_id)) as component_id
+from documents left join sizes using (doc_id) left join (select a as doc_id, min(b) as low from reach group by a) using (doc_id)
+"""
+
+_OP8 = f"""
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and list_cosine_similarity(embedding::double[], embedding::double[]) > 0.5),
+links as (select x.vec_id as a, y.vec_id as b from v x join v y on x.label = y.label and x.vec_id <> y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.93),
+{_COMPONENTS}
+select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, coalesce(low, vec_id) >= vec_id as kept
+from embeddings left join (select a as vec_id, count(*) as n from links group by a) using (vec_id) left join (select a as vec_id, min(b) as low from reach group by a) using (vec_id)
+"""
+
+#: For the small tables of the driver's comparison; the other queries are tested against the library or brute force.
+ORACLE_SQL: dict[str, str] = {"op3_fm_index": _OP3, "op5_host_suffix": _OP5, "op7_set_join": _OP7, "op8_lattice": _OP8}

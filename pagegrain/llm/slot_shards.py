@@ -51,25 +51,21 @@ def rebalance_map(current: DataFrame, sums: DataFrame, shards: int) -> DataFrame
     Each shard keeps its slots in slot order up to the new mean; the slots beyond it, and those of shards that are no
     more, go one by one (the largest first) to the shard with the fewest bytes. Slots without bytes weigh nothing.
     """
-    sized = current.join(F.broadcast(sums.select("vslot", "bytes")), "vslot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))
-    mean = sized.agg((F.sum("bytes") / shards).alias("mean"))
+    sized = current.join(F.broadcast(sums.select("vslot", "bytes")), "vslot", "left").withColumn("bytes", F.coalesce("bytes", F.lit(0)))  # a row for each slot
+    total, version = sized.agg(F.sum("bytes"), F.max("version")).first()
     run = F.sum("bytes").over(Window.partitionBy("shard").orderBy("vslot"))
-    marked = sized.withColumn("run", run).crossJoin(F.broadcast(mean)).withColumn("stays", (F.col("shard") < shards) & (F.col("run") <= F.col("mean")))  # a single row on one side
-    staying = marked.filter("stays")
-    loads = staying.groupBy("shard").agg(F.sum("bytes").alias("load"))
-    start = loads.agg(F.map_from_entries(F.collect_list(F.struct("shard", "load"))).alias("had"))
-    moving = marked.filter(~F.col("stays")).agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot"))).alias("moving"))
-    both = moving.crossJoin(start).select("moving", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda i: F.coalesce(F.try_element_at("had", i), F.lit(0)).cast("long")).alias("load"))
-    zero = F.struct(F.col("load").alias("load"), F.expr("cast(array() as array<struct<vslot:int,shard:int>>)").alias("map"))
+    marked = sized.withColumn("stays", (F.col("shard") < shards) & (run <= (total or 0) / shards))
+    had = {r.shard: r.load for r in marked.filter("stays").groupBy("shard").agg(F.sum("bytes").alias("load")).collect()}  # a row for each shard
+    zero = F.struct(F.array(*[F.lit(int(had.get(i, 0))).cast("long") for i in range(shards)]).alias("load"), F.expr("cast(array() as array<struct<vslot:int,shard:int>>)").alias("map"))
 
     def step(acc: Column, x: Column) -> Column:
         shard = (F.array_position(acc["load"], F.array_min(acc["load"])) - 1).cast("int")
         load = F.transform(acc["load"], lambda v, i: F.when(i == shard, v - x["less"]).otherwise(v))
         return F.struct(load.alias("load"), F.array_append(acc["map"], F.struct(x["vslot"].alias("vslot"), shard.alias("shard"))).alias("map"))
 
-    moved = both.select(F.explode(F.aggregate("moving", zero, step, lambda acc: acc["map"])).alias("m")).select("m.vslot", "m.shard")
-    version = current.agg((F.max("version") + 1).alias("version"))
-    return staying.select("vslot", "shard").unionByName(moved).crossJoin(F.broadcast(version))
+    moving = marked.filter(~F.col("stays")).agg(F.array_sort(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "vslot"))).alias("moving"))
+    moved = moving.select(F.explode(F.aggregate("moving", zero, step, lambda acc: acc["map"])).alias("m")).select("m.vslot", "m.shard")
+    return marked.filter("stays").select("vslot", "shard").unionByName(moved).withColumn("version", F.lit((version or 0) + 1))
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -> DataFrame:
