@@ -35,8 +35,10 @@ def _squeeze(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
 
-def _nodes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return pages.nodes(read_pages(spark, d), columns=columns or tuple(pages.NODES))
+def _nodes(spark: SparkSession, d: str, *columns: str, keep: bool = False) -> DataFrame:
+    """The nodes of all pages; ``keep`` holds them where a query uses them more than once, so that pages are parsed once."""
+    nodes = pages.nodes(read_pages(spark, d), columns=columns or tuple(pages.NODES))
+    return nodes.persist() if keep else nodes
 
 
 SELECTOR_COLUMNS = ("node_id", "last_pre", "parent_id", "tree_id", "sib_idx", "kind", "name", "attrs", "elem_idx", "elem_cnt", "type_idx", "type_cnt", "prev_elem_id", "parent_elem_cnt", "is_empty", "parent_name")
@@ -85,7 +87,7 @@ LI = "select page_id as doc_id, regexp_extract_all(html, '<li><a href=\"[^\"]*\"
 
 @query(f"select doc_id, n, {_squeeze(_unescape('li[n]'))} as text from ({LI}), (values (3), (6)) as v(n) where len(li) >= n")
 def nav_item_nth(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d)
+    nodes = _nodes(spark, d, *SELECTOR_COLUMNS, "data", keep=True)
     items = select(nodes, "nav > ul > li:nth-child(3n)")
     return pages.subtree_text(items, nodes).join(items.select("doc_id", "node_id", F.col("elem_idx").alias("n")), ["doc_id", "node_id"]).select("doc_id", "n", "text")
 
@@ -151,7 +153,7 @@ HREFS = f"select doc_id, {_unescape('href')} as href from ({LINKS})"
 
 @query(f"select 'prefix' as op, count(*) as n from ({HREFS}) where starts_with(href, '/th') union all select 'suffix', count(*) from ({HREFS}) where ends_with(href, '.') union all select 'contains', count(*) from ({HREFS}) where contains(href, 'on') union all select 'fold', count(*) from ({HREFS}) where lower(href) = '/the' union all select 'not', count(*) from ({HREFS}) where not starts_with(href, '/t')")
 def attribute_operators(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d, *SELECTOR_COLUMNS)
+    nodes = _nodes(spark, d, *SELECTOR_COLUMNS, keep=True)
     tests = {"prefix": "a[href^='/th']", "suffix": "a[href$='.']", "contains": "a[href*='on']", "fold": "a[href='/THE' i]", "not": "a:not([href^='/t'])"}
     parts = [select(nodes, s).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("op"), "n") for k, s in tests.items()]
     out = parts[0]
@@ -162,7 +164,7 @@ def attribute_operators(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select doc_id, sum(case when len(li) > 1 then len(li) - 1 else 0 end)::bigint as later, sum(case when len(li) > 1 then 1 else 0 end)::bigint as second from ({LI}) where len(li) > 1 group by doc_id")
 def sibling_items(spark: SparkSession, d: str) -> DataFrame:
-    nodes = _nodes(spark, d, *SELECTOR_COLUMNS)
+    nodes = _nodes(spark, d, *SELECTOR_COLUMNS, keep=True)
     later = select(nodes, "li ~ li").groupBy("doc_id").agg(F.count(F.lit(1)).alias("later"))
     second = select(nodes, "li:first-child + li").groupBy("doc_id").agg(F.count(F.lit(1)).alias("second"))
     return later.join(second, "doc_id")
@@ -170,7 +172,7 @@ def sibling_items(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select page_id as doc_id, len(regexp_extract_all(html, '<a href=')) + 1 as n from pages")
 def group_and_descendant(spark: SparkSession, d: str) -> DataFrame:
-    return select(_nodes(spark, d, *SELECTOR_COLUMNS), "nav ul a[href], body > div.ad, head > title::first-line").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return select(_nodes(spark, d, *SELECTOR_COLUMNS, keep=True), "nav ul a[href], body > div.ad, head > title::first-line").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"select page_id as doc_id, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang, len(regexp_extract_all(html, '<a href=')) as links from pages")

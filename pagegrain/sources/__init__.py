@@ -16,6 +16,17 @@ def read_text_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
+#: A table below this many bytes for each thread is dealt out anew; larger ones have enough splits of their own.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a small table to all threads: its file may be one row group, and parsing takes far longer than reading."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    threads = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, min(2 * threads, size >> 17))) if size < SMALL * threads else df
+
+
 def read_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The page table: doc_id, url, html."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "url", "html")
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "url", "html"))
