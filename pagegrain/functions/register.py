@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from pagegrain.functions import encoding, output
@@ -29,6 +31,23 @@ class TokenizeHtml:
             yield i, t[0], t[1], t[2], t[4]
 
 
+def resolve_url(base: Column, link: Column) -> Column:
+    """A link in full, as a page at ``base`` means it; null without one of them."""
+
+    @F.pandas_udf("string")
+    def f(b: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series([_join(u, v) for u, v in zip(b, x, strict=True)], dtype=object)
+
+    return f(base, link)
+
+
+def _join(base: str | None, link: str | None) -> str | None:
+    try:
+        return None if base is None or link is None else urljoin(base, link)
+    except ValueError:  # such a link has no meaning
+        return link
+
+
 def register(spark: SparkSession) -> None:
     """Make the functions known to spark.sql under their names."""
     ship_package(spark)

@@ -125,6 +125,11 @@ def parse_errors(df: DataFrame, column: str = "html", key: str = "doc_id", **opt
     return _relation(df, column, ERRORS, rows_of, key)
 
 
+def describe_errors(errors: DataFrame) -> DataFrame:
+    """With a column ``description``: (line,column): code, or the code alone."""
+    return errors.withColumn("description", F.when(F.col("line").isNull(), F.col("code")).otherwise(F.format_string("(%d,%d): %s", "line", "column", "code")))
+
+
 def matches(df: DataFrame, selector: str, column: str = "html", key: str = "doc_id", separator: str = "", strip: bool = False, collapse: bool = True, first: bool = False, **options) -> DataFrame:
     """Nodes that match a selector, with attributes and text: parse, match and read in one pass, without a join.
 

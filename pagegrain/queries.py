@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.functions.register import register
+from pagegrain.functions.register import register, resolve_url
 from pagegrain.operators import edit, pages
 from pagegrain.plans.selectors import select
 from pagegrain.sources import read_pages
@@ -220,6 +220,43 @@ def position_windows(spark: SparkSession, d: str) -> DataFrame:
     return n.select("doc_id", same.alias("same")).groupBy("doc_id").agg(F.when(F.min("same"), F.lit("ok")).alias("windows"))
 
 
+@query(f"select doc_id, regexp_extract(url, '^[a-z]+://[^/]*', 0) || href as link from (select page_id as doc_id, url, {_unescape("unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))")} as href from pages)")
+def resolved_links(spark: SparkSession, d: str) -> DataFrame:
+    p = read_pages(spark, d)
+    found = pages.matches(p, "[href], [src], [action]").select("doc_id", F.coalesce(F.col("attrs")["href"], F.col("attrs")["src"], F.col("attrs")["action"]).alias("link"))
+    return found.join(p.select("doc_id", "url"), "doc_id").select("doc_id", resolve_url(F.col("url"), F.col("link")).alias("link"))
+
+
+@query(f"select page_id as doc_id, coalesce(nullif({_squeeze(_unescape("x[2]"))}, ''), {_unescape('x[1]')}) as label from (select page_id, unnest(list_zip(regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 1), regexp_extract_all(html, '<a href=\"([^\"]*)\">([^<]*)</a>', 2))) as x from pages)")
+def link_labels(spark: SparkSession, d: str) -> DataFrame:
+    """The text of a link; of one without text its target or title."""
+    found = pages.matches(read_pages(spark, d), "li a", strip=True)
+    return found.select("doc_id", F.coalesce(F.nullif("text", F.lit("")), F.col("attrs")["href"], F.col("attrs")["title"], F.lit("")).alias("label"))
+
+
+@query("select doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) as text from documents where not contains(text, '&')")
+def fragment_text(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as the contents of a textarea: no tag is one there."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").filter("not contains(text, '&')")
+    return pages.page_text(docs, column="text", collapse=False, context=("textarea", None))
+
+
+@query("select page_id as doc_id, 'html' as root, 2::bigint as parts from pages")
+def fragment_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A cell parsed as the fragment of a row; the wrapper stays in the relation."""
+    cells = read_pages(spark, d).select("doc_id", F.lit("<td>a</td><th>b").alias("html"))
+    n = pages.nodes(cells, columns=("kind", "name", "depth"), context=("tr", None)).filter("kind = 'element'")
+    return n.groupBy("doc_id").agg(F.max(F.when(F.col("depth") == 1, F.col("name"))).alias("root"), F.count(F.when(F.col("depth") == 2, 1)).alias("parts"))
+
+
+@query("select page_id as doc_id, 'expected-doctype-but-got-chars' as first from pages")
+def error_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    """The first error of pages that lack their doctype."""
+    cut = read_pages(spark, d).select("doc_id", F.concat(F.lit("x"), F.regexp_replace("html", "(?i)<!doctype html>", "")).alias("html"))
+    found = pages.describe_errors(pages.parse_errors(cut)).filter("source = 'tree'")
+    return found.groupBy("doc_id").agg(F.min_by("description", "seq").alias("first"))
+
+
 @query()
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
     return pages.page_markdown(read_pages(spark, d))

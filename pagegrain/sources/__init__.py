@@ -22,7 +22,7 @@ SMALL = 4 << 20
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal a small table to all threads: its file may be one row group, and parsing takes far longer than reading."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     threads = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(max(1, min(2 * threads, size >> 17))) if size < SMALL * threads else df
 
