@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,38 @@ class WordHashes:
         return np.array(got, np.uint64)
 
 
+_KEPT: dict[object, object] = {}
+
+
+def only(key: object, make: Callable[[], object]) -> object:
+    """What a worker keeps between batches and tasks. There is one such thing at a time: another key drops it."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def release() -> None:
+    """Give memory that is free back to the system; workers stay alive between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def tidy(f: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """A function of a group that gives memory back when it is done."""
+
+    def run(t: pa.Table) -> pa.Table:
+        try:
+            return f(t)
+        finally:
+            release()
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -98,6 +131,7 @@ def map_file(uri: str) -> np.ndarray:
 def blocks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 32 << 20) -> Iterator[pa.Table]:
     """Batches joined into tables of about ``most`` bytes, so that memory stays bounded for any partition."""
     held, size = [], 0
+    release()
     for b in batches:
         step = max(1, int(b.num_rows * most / max(1, b.nbytes)))
         for k in range(0, b.num_rows, step):
@@ -107,8 +141,11 @@ def blocks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 32 <
             if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
+        del b, part
     if held:
         yield pa.Table.from_batches(held)
+    held.clear()
+    release()
 
 
 def doc_texts(df: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import blocks, doc_texts, map_file, mix64, write_file
+from pagegrain.llm.common import blocks, doc_texts, map_file, mix64, only, tidy, write_file
 from pagegrain.llm.words import NOT_SPACE, HashTable, Texts, runs
 from pagegrain.runtime import shared_folder, ship_package
 
@@ -294,14 +294,8 @@ def _pairs(stream: Stream, number: np.ndarray, count: np.ndarray) -> tuple[np.nd
     return at, (number[at - 1].astype(np.uint64) << np.uint64(32)) | number[at].astype(np.uint64)
 
 
-_TABLES: dict[str, WordTable] = {}
-
-
 def _words(name: str, vocabulary: Vocabulary) -> WordTable:
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = WordTable(vocabulary)
-    return _TABLES[name]
+    return only(name, lambda: WordTable(vocabulary))
 
 
 SHARDED = "shard long, blob binary"
@@ -324,7 +318,7 @@ def train(docs: DataFrame) -> tuple[Trie, int, str]:
         key, n = _merge(t)
         return pa.table({"shard": [t["shard"][0].as_py()], "uris": [[_write(folder, "words", EliasFano.build(key)), _write(folder, "counts", n.astype("<i8").tobytes())]], "n": [len(key)], "tokens": [int(n.sum())]})
 
-    built = rows.mapInArrow(send_words, SHARDED).groupBy("shard").applyInArrow(build_words, "shard long, uris array<string>, n long, tokens long").collect()  # a row for each shard
+    built = rows.mapInArrow(send_words, SHARDED).groupBy("shard").applyInArrow(tidy(build_words), "shard long, uris array<string>, n long, tokens long").collect()  # a row for each shard
     uris: list = [None] * (1 << bits)
     sizes = [0] * (1 << bits)
     for r in built:
@@ -363,7 +357,7 @@ def train(docs: DataFrame) -> tuple[Trie, int, str]:
             out["blob"].append((context[on] - base[s]).astype("<i8").tobytes() + sums[on].astype("<f8").tobytes())
         return pa.table({"shard": pa.array(out["shard"], pa.int64()), "uris": pa.array(out["uris"], pa.list_(pa.string())), "home": pa.array(out["home"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
 
-    rows.mapInArrow(send_pairs, SHARDED).groupBy("shard").applyInArrow(build_pairs, "shard long, uris array<string>, home long, blob binary").write.parquet(f"{folder}-pairs")
+    rows.mapInArrow(send_pairs, SHARDED).groupBy("shard").applyInArrow(tidy(build_pairs), "shard long, uris array<string>, home long, blob binary").write.parquet(f"{folder}-pairs")
     pairs = spark.read.parquet(f"{folder}-pairs")
     pair_counts = {}
     for r in pairs.filter("shard >= 0").select("shard", "uris").collect():  # a row for each shard
@@ -378,7 +372,7 @@ def train(docs: DataFrame) -> tuple[Trie, int, str]:
             used[np.frombuffer(blob, "<i8", m)] += np.frombuffer(blob, "<f8", m, 8 * m)
         return pa.table({"home": [s], "uri": [_write(folder, "masses", quantise(1 - np.minimum(used, 1 - 1e-9)).tobytes())]})
 
-    for r in pairs.filter("home >= 0").select("home", "blob").groupBy("home").applyInArrow(build_masses, "home long, uri string").collect():
+    for r in pairs.filter("home >= 0").select("home", "blob").groupBy("home").applyInArrow(tidy(build_masses), "home long, uri string").collect():
         vocabulary.gammas[r.home] = r.uri
 
     def send_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,7 +404,7 @@ def train(docs: DataFrame) -> tuple[Trie, int, str]:
         made = [_write(folder, "triples", EliasFano.build((context.astype(np.uint64) << np.uint64(vocabulary.word_bits)) | (key & np.uint64(0xFFFFFFFF)))), _write(folder, "triple-probabilities", quantise(p).tobytes()), _write(folder, "pair-masses", quantise(1 - np.minimum(used, 1 - 1e-9)).tobytes())]
         return pa.table({"shard": [s], "uris": [made]})
 
-    for r in rows.mapInArrow(send_triples, SHARDED).groupBy("shard").applyInArrow(build_triples, "shard long, uris array<string>").collect():
+    for r in rows.mapInArrow(send_triples, SHARDED).groupBy("shard").applyInArrow(tidy(build_triples), "shard long, uris array<string>").collect():
         trie.three[r.shard] = (r.uris[0], r.uris[1])
         two = trie.two[r.shard]
         trie.two[r.shard] = (two[0], two[1], r.uris[2], two[3])

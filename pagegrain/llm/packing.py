@@ -89,7 +89,7 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, window: int) ->
     ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=8 << 20):
+        for t in blocks(batches, most=4 << 20):
             ids, borders = encoder(vocabulary, "joined").encode(t["text"])
             ids = np.insert(ids, borders[1:], end_id).astype("<u4")
             borders = borders + np.arange(len(borders))

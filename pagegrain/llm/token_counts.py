@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from pagegrain.llm.common import blocks, doc_texts
+from pagegrain.llm.common import blocks, doc_texts, only
 from pagegrain.llm.words import NOT_SPACE, ChunkTable, Texts, gather, kind_cuts, runs
 from pagegrain.runtime import ship_package
 
@@ -178,22 +178,18 @@ class TokenCounter:
         return np.diff(texts.offsets), np.diff(np.concatenate([[0], np.cumsum(each)])[words.first])
 
 
-_COUNTERS: dict[str, TokenCounter] = {}
-
-
 def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of each row.
 
     Null and empty texts have no bytes and no tokens; repeated rows are counted each for itself; a special string
-    inside a text is one token, as by the library's default. No shuffle; a task holds about 16 MB of text at a time.
+    inside a text is one token, as by the library's default. No shuffle; a task holds about 8 MB of text at a time.
     """
     ship_package(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if vocabulary not in _COUNTERS:
-            _COUNTERS[vocabulary] = TokenCounter(vocabulary)
-        for t in blocks(batches, most=16 << 20):
-            size, n = _COUNTERS[vocabulary].counts(t["text"])
+        counter = only((vocabulary, "counter"), lambda: TokenCounter(vocabulary))
+        for t in blocks(batches, most=8 << 20):
+            size, n = counter.counts(t["text"])
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(size, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     return doc_texts(docs).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -144,7 +144,7 @@ def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1,
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = StoreWriter(width=width), 0
-        for t in blocks(batches, most=8 << 20):
+        for t in blocks(batches, most=4 << 20):
             ids, borders = encoder(vocabulary, spaces).encode(t["text"])
             ids = np.insert(ids, borders[1:], end_id)
             borders = borders + np.arange(len(borders))

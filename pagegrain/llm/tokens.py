@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from pagegrain.llm.common import only
 from pagegrain.llm.words import NOT_SPACE, ChunkTable, Texts, gather, kind_cuts, runs, space_chunks
 
 
@@ -72,14 +73,9 @@ class ChunkEncoder:
         return ids, np.concatenate([[0], np.cumsum(lens)])[words.first]
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, spaces: str) -> ChunkEncoder:
-    """One encoder for each vocabulary and Python worker."""
-    if (path, spaces) not in _ENCODERS:
-        _ENCODERS[path, spaces] = ChunkEncoder(path, spaces)
-    return _ENCODERS[path, spaces]
+    """One encoder for a vocabulary and Python worker."""
+    return only((path, spaces), lambda: ChunkEncoder(path, spaces))
 
 
 def crc_ids(ids: np.ndarray) -> int:

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import blocks, doc_texts
+from pagegrain.llm.common import blocks, doc_texts, only
 from pagegrain.llm.words import LETTER_OR_DIGIT, ChunkTable, Texts, gather, runs
 from pagegrain.runtime import ship_package
 
@@ -134,9 +134,6 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicM
     return fit((r.text, r.toxic) for r in joined.toLocalIterator())
 
 
-_TABLES: dict[ToxicModel, ChunkTable] = {}
-
-
 def toxic_windows(model: ToxicModel, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """How many windows of each text are toxic; all windows are looked at, each distinct one once."""
 
@@ -144,10 +141,7 @@ def toxic_windows(model: ToxicModel, column: pa.Array | pa.ChunkedArray) -> np.n
         size = lengths(model, new)
         return np.ones(len(new), np.int64), (size[:, 1] - size[:, 0] >= model.gain) & (size[:, 0] <= model.limit)
 
-    if model not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model] = ChunkTable(work, bool)
-    t = _TABLES[model]
+    t = only(model, lambda: ChunkTable(work, bool))
     words = runs(Texts(column, lower=True), LETTER_OR_DIGIT)
     rows = t.rows(words)
     each = gather(t.pool, t.at[rows], t.lens[rows]).astype(np.int64)
@@ -171,7 +165,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=8 << 20):
+        for t in blocks(batches, most=4 << 20):
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(scores_of(model, t["text"]))], names=["doc_id", "score"])
 
     scored = doc_texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -184,7 +178,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=8 << 20):
+        for t in blocks(batches, most=4 << 20):
             yield from t.filter(pa.array(scores_of(model, t["text"]) < 0.5)).to_batches()
 
     return docs.mapInArrow(keep, docs.schema)
