@@ -56,7 +56,8 @@ def test_subtree_text(nodes):
 
 
 def test_a_local_selector_needs_no_exchange(spark):
-    found = select(pages.nodes(read_pages(spark, "/root/testdata/sf0.001")), "li.x:not(:empty)")
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumnRenamed("page_id", "doc_id")
+    found = select(pages.nodes(table), "li.x:not(:empty)")
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
 
 
