@@ -288,6 +288,20 @@ def test_set_join_on_awkward_rows(spark, messy, messy_rows, empty):
     assert ids == sorted([*{i for i, _, c in got if i == c and i != "None"}, "None", "None"])
 
 
+def test_linked_sets_share_a_part():
+    rng = np.random.default_rng(6)
+    met = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 60))
+        x = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+        y = np.unique(np.concatenate([x[rng.random(len(x)) > 0.08], rng.integers(0, 1 << 62, int(rng.integers(0, 3)), dtype=np.uint64)]))
+        both = len(np.intersect1d(x, y))
+        if both and 100 * both >= 85 * (len(x) + len(y) - both):
+            met += 1
+            assert len(np.intersect1d(set_join.part_keys(x, 85), set_join.part_keys(y, 85)))
+    assert met > 500
+
+
 def test_local_join_derives_and_skips():
     sets = [np.unique(np.array([hash((k, x)) % (1 << 60) for x in shingles(t)], np.uint64)) for k in [0] for _, t in near_rows(4, 200)]
     join = set_join.LocalJoin(sets, np.full(len(sets), -1))
