@@ -18,6 +18,7 @@ KINDS = ("data", "rcdata", "rawtext", "script", "plaintext", "cdata")
 
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _NAME = re.compile(r"[^\t\n\f />]+")
+_BARE_TAG = re.compile(r"</?([a-z][a-z0-9]*)>")
 _SPACE = re.compile(r"[\t\n\f ]*")
 _ATTRIBUTE = re.compile(r"=?[^\t\n\f />=]*")
 _UNQUOTED = re.compile(r"[^\t\n\f >]*")
@@ -274,6 +275,10 @@ class Scanner:
         """A tag from its < to its >; one that the text ends in is dropped."""
         html, n = self.html, len(self.html)
         begin = self.at
+        m = _BARE_TAG.match(html, begin)
+        if m:  # most tags have neither attributes nor capitals
+            self._tag_is(m[1], {}, False, is_end, m.end())
+            return
         m = _NAME.match(html, begin + 1 + is_end)
         name = self._clean(m[0], m.start()).translate(_UPPER)
         at = m.end()
@@ -339,6 +344,9 @@ class Scanner:
                     at = stop
             if key and key not in attrs:
                 attrs[key] = value
+        self._tag_is(name, attrs, closing, is_end, at)
+
+    def _tag_is(self, name: str, attrs: dict[str, str], closing: bool, is_end: bool, at: int) -> None:
         self.at = at
         self.flush()
         if is_end:
