@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index for each shard of training text.
 
-A shard is a block of whole documents (about 16 MB of text). Its words become symbols of the phrases' alphabet. A word that no
+A shard is a block of whole documents (about 4 MB of text). Its words become symbols of the phrases' alphabet. A word that no
 phrase holds ends every occurrence, so a run of such words is one separator in the indexed string; runs of known words
 shorter than the shortest phrase can't hold one and are left out. All this loses no occurrence. Over the string the
 suffix array gives the Burrows-Wheeler transform, which a wavelet tree holds as rank-indexed bit vectors. All test
@@ -263,7 +263,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     uris = write_phrases(benchmark, width)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=16 << 20):
+        for t in blocks(batches, most=4 << 20):
             m = Matches(t["text"], uris)
             n = t.num_rows
             spans = [[{"start": a, "end": b} for a, b in s] for s in m.spans()]
@@ -286,7 +286,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH)
     uris = write_phrases(benchmark, width)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=16 << 20):
+        for t in blocks(batches, most=4 << 20):
             yield from t.filter(pa.array(Matches(t["text"], uris).n_hit == 0)).to_batches()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -50,12 +50,14 @@ class ChunkEncoder:
         groups = [plain[k : k + 40] for k in range(0, len(plain), 40)]
         got: list = [None] * len(text)
         glue = "" if self.joined else " "
-        for ids, group in zip(self._each([glue.join(text[i] for i in g) for g in groups]), groups, strict=True):
-            at = np.flatnonzero(self.border[ids])
-            if len(at) == len(group):
-                borders = [*at, len(ids)] if self.joined else [0, *(at + 1)]
-                for i, a, b in zip(group, borders[:-1], borders[1:], strict=True):
-                    got[i] = ids[a:b]
+        for k in range(0, len(groups), 200):  # the library's results are large
+            some = groups[k : k + 200]
+            for ids, group in zip(self._each([glue.join(text[i] for i in g) for g in some]), some, strict=True):
+                at = np.flatnonzero(self.border[ids])
+                if len(at) == len(group):
+                    borders = [*at, len(ids)] if self.joined else [0, *(at + 1)]
+                    for i, a, b in zip(group, borders[:-1], borders[1:], strict=True):
+                        got[i] = ids[a:b]
         rest = [i for i, ids in enumerate(got) if ids is None]
         for i, ids in zip(rest, self._each([text[i] for i in rest]), strict=True):
             got[i] = ids

@@ -222,7 +222,7 @@ class ChunkTable:
     Beyond ``most`` words or values the table is emptied; results don't depend on that.
     """
 
-    def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 800_000):
+    def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 400_000):
         self.work, self.dtype, self.most = work, dtype, most
         self._clear()
 
