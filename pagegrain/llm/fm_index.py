@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import blocks, doc_texts, ragged, read_file, write_file
+from pagegrain.llm.common import blocks, doc_texts, only, ragged, read_file, write_file
 from pagegrain.llm.words import LETTER_OR_DIGIT, HashTable, Texts, Words, runs
 from pagegrain.runtime import shared_folder, ship_package
 
@@ -216,14 +216,8 @@ def write_phrases(benchmark: DataFrame, width: int, most_words: int = PHRASE_WOR
     return out
 
 
-_LAST: dict[str, PhraseBlock] = {}
-
-
 def _phrases(uri: str) -> PhraseBlock:
-    if uri not in _LAST:
-        _LAST.clear()
-        _LAST[uri] = pickle.loads(read_file(uri))  # noqa: S301  written by write_phrases
-    return _LAST[uri]
+    return only(uri, lambda: pickle.loads(read_file(uri)))  # noqa: S301  written by write_phrases
 
 
 class Matches:
