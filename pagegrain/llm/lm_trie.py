@@ -1,8 +1,8 @@
 """Language-model scoring with an n-gram trie in Elias-Fano lists.
 
 The model interpolates three orders: P3 = d(uvw)/c(uv) + g(uv) P2, P2 = d(vw)/c(v) + g(v) P1, P1 = (c + 0.1)/(N + 0.1 (V + 1)),
-where d takes ``DISCOUNT`` from counts of at least ``LEAST_COUNT`` (rarer n-grams of orders 2 and 3 aren't in the trie) and g is the mass left
-over. Words are known by 64-bit hashes; a word's number is its rank among all words.
+where d takes ``DISCOUNT`` from counts and g is the mass left over. The registered query keeps every n-gram of orders 2 and 3 (``least=1``); callers
+that want a smaller trie can leave out those that occur less than ``least`` times, ``LEAST_COUNT`` where they name none. Words are known by 64-bit hashes; a word's number is its rank among all words.
 
 Levels are files in the shared folder, in shards that grow in number with the input: words by ranges of their hashes,
 bigrams together with the trigrams that go on from them by a hash of the bigram. A level is one monotone list: the
@@ -241,8 +241,8 @@ def _merge(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 class Trie:
     """Bigrams and trigrams over a vocabulary. Uris by shard: contexts, bigrams, their masses and probabilities; trigrams, probabilities."""
 
-    def __init__(self, vocabulary: Vocabulary, bits: int):
-        self.vocabulary, self.bits = vocabulary, bits
+    def __init__(self, vocabulary: Vocabulary, bits: int, least: int = LEAST_COUNT):
+        self.vocabulary, self.bits, self.least = vocabulary, bits, least
         self.two: list[tuple | None] = [None] * (1 << bits)
         self.three: list[tuple | None] = [None] * (1 << bits)
 
@@ -287,9 +287,9 @@ class Trie:
                 yield s, order[borders[s] : borders[s + 1]]
 
 
-def _pairs(stream: Stream, number: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(stream: Stream, number: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of second words of bigrams that may be in the trie, and the bigrams."""
-    often = count >= LEAST_COUNT
+    often = count >= least
     at = np.flatnonzero(~stream.begins[1:] & often[1:] & often[:-1]) + 1
     return at, (number[at - 1].astype(np.uint64) << np.uint64(32)) | number[at].astype(np.uint64)
 
@@ -301,8 +301,8 @@ def _words(name: str, vocabulary: Vocabulary) -> WordTable:
 SHARDED = "shard long, blob binary"
 
 
-def train(docs: DataFrame) -> tuple[Trie, int, str]:
-    """The model of all rows of ``docs``, its number of tokens, and a name for it."""
+def train(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[Trie, int, str]:
+    """The model of all rows of ``docs``, its number of tokens, and a name for it; n-grams below ``least`` aren't in it."""
     spark = docs.sparkSession
     ship_package(spark)
     folder, rows = shared_folder(spark, "lm"), doc_texts(docs)
@@ -324,21 +324,21 @@ def train(docs: DataFrame) -> tuple[Trie, int, str]:
     for r in built:
         uris[r.shard], sizes[r.shard] = tuple(r.uris), r.n
     vocabulary = Vocabulary(bits, uris, sizes)
-    trie, tokens = Trie(vocabulary, bits), sum(r.tokens for r in built)
+    trie, tokens = Trie(vocabulary, bits, least), sum(r.tokens for r in built)
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = _words(folder, vocabulary)
         for t in blocks(batches, most=BLOCK):
             stream = Stream(t["text"])
             number, count, _ = look(stream.hashes)
-            key, n = _counted(np.sort(_pairs(stream, number, count)[1]))
+            key, n = _counted(np.sort(_pairs(stream, number, count, least)[1]))
             yield from _deal(key, n, trie.shard(key))
 
     base, counts_at = vocabulary.base, [u and u[1] for u in uris]
 
     def build_pairs(t: pa.Table) -> pa.Table:
         key, n = _merge(t)
-        key, n = key[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
+        key, n = key[n >= least], n[n >= least]
         first = (key >> np.uint64(32)).astype(np.int64)
         context, k = np.unique(first, return_inverse=True)
         total = np.zeros(len(context), np.int64)
@@ -380,7 +380,7 @@ def train(docs: DataFrame) -> tuple[Trie, int, str]:
         for t in blocks(batches, most=BLOCK):
             stream = Stream(t["text"])
             number, count, _ = look(stream.hashes)
-            at, key = _pairs(stream, number, count)
+            at, key = _pairs(stream, number, count, least)
             distinct, back = np.unique(key, return_inverse=True)
             shard, node, _, _ = trie.bigrams(distinct)
             there = node[back] >= 0
@@ -396,7 +396,7 @@ def train(docs: DataFrame) -> tuple[Trie, int, str]:
     def build_triples(t: pa.Table) -> pa.Table:
         s = t["shard"][0].as_py()
         key, n = _merge(t)
-        key, n = key[n >= LEAST_COUNT], n[n >= LEAST_COUNT]
+        key, n = key[n >= least], n[n >= least]
         context = (key >> np.uint64(32)).astype(np.int64)
         total = _array(pair_counts[s], "<i8")
         p = (n - DISCOUNT) / total[context]
@@ -426,7 +426,7 @@ def score(docs: DataFrame, trie: Trie, tokens: int, name: str) -> DataFrame:
             p = p1.copy()
             inner = np.flatnonzero(~stream.begins)
             p[inner] *= gamma[inner - 1]
-            at, key = _pairs(stream, number, count)
+            at, key = _pairs(stream, number, count, trie.least)
             distinct, back = np.unique(key, return_inverse=True)
             shard, node, p2, g2 = trie.bigrams(distinct)
             there = node[back] >= 0
@@ -455,11 +455,11 @@ def held_out(doc_id: str = "doc_id", folds: int = FOLDS) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == 0
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
     """Train on the rows that aren't held out and score every row.
 
     Null and empty texts are the end alone. Without training rows every token has the probability of an unknown word.
     Repeated rows count each time.
     """
-    trie, tokens, name = train(doc_texts(docs).filter(~held_out()))
+    trie, tokens, name = train(doc_texts(docs).filter(~held_out()), least)
     return score(docs, trie, tokens, name).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

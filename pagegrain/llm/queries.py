@@ -21,7 +21,7 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pagegrain.llm.lm_trie import score_documents
 
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), least=1)
 
 
 def op3_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:

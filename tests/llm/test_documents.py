@@ -73,6 +73,43 @@ def test_language_model(spark, messy, messy_rows, empty):
     assert lm_trie.score_documents(empty).count() == 0
 
 
+def test_language_model_keeps_single_ngrams(spark, messy, messy_rows, tmp_path):
+    """The registered query against a model of every n-gram, those that occur once among them."""
+    from pagegrain.llm.queries import op2_lm_trie
+
+    rows = [(i, [*words(t), None]) for i, t in messy_rows]
+    train = [w for i, w in rows if fold(i, 10)]
+    one = collections.Counter(x for w in train for x in w)
+    two = collections.Counter(x for w in train for x in zip(w, w[1:]))
+    three = collections.Counter(x for w in train for x in zip(w, w[1:], w[2:]))
+    assert 1 in two.values() and 1 in three.values()
+    n, d = sum(one.values()), lm_trie.DISCOUNT
+    types1, types2 = collections.Counter(x[0] for x in two), collections.Counter(x[:2] for x in three)
+    uses1, uses2 = collections.Counter(), collections.Counter()
+    for x, k in two.items():
+        uses1[x[0]] += k
+    for x, k in three.items():
+        uses2[x[:2]] += k
+    want = []
+    for i, w in rows:
+        score = 0.0
+        for k, x in enumerate(w):
+            p = (one[x] + 0.1) / (n + 0.1 * (len(one) + 1))
+            if k and one[w[k - 1]]:
+                a = w[k - 1]
+                p = max(0, two[a, x] - d) / one[a] + (1 - (uses1[a] - d * types1[a]) / one[a]) * p
+            if k > 1 and two[w[k - 2], w[k - 1]]:
+                a = (w[k - 2], w[k - 1])
+                p = max(0, three[*a, x] - d) / two[a] + (1 - (uses2[a] - d * types2[a]) / two[a]) * p
+            score += math.log10(p)
+        want.append((str(i), len(w), score))
+    messy.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in op2_lm_trie(spark, str(tmp_path)).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, sorted(want), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-3 * a[1] + 1e-6)
+
+
 # --- 3 ----------------------------------------------------------------------------------------------------------------
 
 
