@@ -138,6 +138,17 @@ def test_main_text_on_spark(spark):
     assert host_suffix.main_text(df.limit(0)).count() == 0
 
 
+def test_boilerplate_is_counted_over_the_whole_host(spark):
+    notice = " ".join(f"notice{i}" for i in range(12))
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(10))
+    rows = [(i, f"http://h.x/{i}", f"<p>{text(i)}</p>" + (f"<p>{notice}</p>" if i % 60 == 0 else "")) for i in range(240)]
+    rows += [(1000 + i, f"http://two.x/{i}", f"<p>{text(1000 + i)}</p>" + (f"<p>{notice}</p>" if i < 2 else "")) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = {i: text(i) + (f" {notice}" if i in (1000, 1001) else "") for i, _, _ in rows}
+    for bucket in (8, 512):
+        assert {r.page_id: r.text for r in host_suffix.main_text(df, bucket=bucket).collect()} == want
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 
