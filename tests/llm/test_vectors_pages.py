@@ -149,6 +149,25 @@ def test_boilerplate_is_counted_over_the_whole_host(spark):
         assert {r.page_id: r.text for r in host_suffix.main_text(df, bucket=bucket).collect()} == want
 
 
+def test_copies_are_one_page(spark):
+    own, notice = ([f"{x}{i}" for i in range(12)] for x in "ab")
+    marks = host_suffix.repeated([[own], [own], [own], [own, ["end"]]])
+    assert not any(m.any() for page in marks for m in page)
+    rows = [(1, "http://h.x/1")] * 3 + [(2, "http://h.x/2"), (3, "http://h.x/3"), (4, "http://other.x/1")]
+    rows = [(*r, f"<p>{' '.join(own)}</p>") for r in rows]
+    # on two distinct pages, one of them in many copies, then on three
+    for host, least in (("two", 2), ("three", 3)):
+        rows += [(10, f"http://{host}.x/{i % 7}", f"<p>{' '.join(notice)}</p><p>copied</p>") for i in range(50)]
+        rows += [(10 + i, f"http://{host}.x/{i}", f"<p>{' '.join(notice)}</p><p>page {i}</p>") for i in range(1, least)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for bucket in (1, 512):
+        got = host_suffix.main_text(df, bucket=bucket).collect()
+        assert sorted((r.page_id, r.url) for r in got) == sorted(r[:2] for r in rows)
+        for r in got:
+            tail = "copied" if r.page_id == 10 else f"page {r.page_id - 10}"
+            assert r.text == (" ".join(own) if r.page_id < 10 else tail if "three" in r.url else " ".join([*notice, tail]))
+
+
 # --- the pipeline -----------------------------------------------------------------------------------------------------
 
 
