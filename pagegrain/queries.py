@@ -275,3 +275,30 @@ def test_format(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def page_parse_errors(spark: SparkSession, d: str) -> DataFrame:
     return pages.parse_errors(read_pages(spark, d))
+
+
+# Whole tables, with every reference: SQL can't say these, so their namesakes keep the rows that it can.
+
+
+def _with_nulls(texts: DataFrame, df: DataFrame, column: str) -> DataFrame:
+    """Relations have no rows for nulls; a null has a null text here."""
+    return texts.union(df.filter(F.col(column).isNull()).select("doc_id", F.lit(None).cast("string").alias("text")))
+
+
+@query()
+def entity_decoding_whole(spark: SparkSession, d: str) -> DataFrame:
+    register(spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return docs.select("doc_id", F.expr("if(text is null, null, decode_entities(coalesce(text, '')))").alias("text"))
+
+
+@query()
+def fragment_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    return _with_nulls(pages.page_text(docs, column="text", collapse=False, context=("textarea", None)), docs, "text")
+
+
+@query()
+def page_text_whole(spark: SparkSession, d: str) -> DataFrame:
+    p = read_pages(spark, d)
+    return _with_nulls(pages.page_text(p), p, "html")
