@@ -112,6 +112,12 @@ def test_main_text():
     assert host_suffix.settled_text("<article>a < b &lt; c<br/>d</article>") == "a < b < c d"
 
 
+def test_anchors_inside_an_article_are_text():
+    page = "<article><h2 id=related-work>Related</h2><section id='search-results'>a</section><p data-id=ad data-role='menu'>b</p><div id=comments>no</div><div class='share-bar'>no</div></article>"
+    assert host_suffix.settled_text(page) == "Related a b"
+    assert host_suffix.settled_text("<div id=ad-top>no</div><p data-id=ad>yes") == "yes"
+
+
 def test_repeated_substrings():
     rng = random.Random(1)
     shared = [f"s{i}" for i in range(12)]
