@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
-from pagegrain.llm.common import M2, M3, mix64
+from pagegrain.llm.common import M1, M2, M3, mix64
 
 _CODES = np.arange(256)
 #: Fixed classes of bytes, as the contracts of the operators give them.
@@ -16,23 +17,15 @@ NOT_SPACE = ~ASCII_SPACE
 LETTER_OR_DIGIT = ((_CODES >= 0x30) & (_CODES <= 0x39)) | ((_CODES >= 0x61) & (_CODES <= 0x7A)) | (_CODES >= 0x80)
 LOWER = np.where((_CODES >= 0x41) & (_CODES <= 0x5A), _CODES + 32, _CODES).astype(np.uint8)
 
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * M2)
-_STEP = 1 << 17
-_POWERS: list[np.ndarray] = []
+#: Words of more bytes than this are hashed and compared one by one; there are few of them.
+_LONG = 256
+_KEEP = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**k and base**-k modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        n = max(n, _STEP * 2)
-        base = 0x9E3779B97F4A7C15
-        both = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            x = np.full(n, b, np.uint64)
-            x[0] = 1
-            both.append(np.cumprod(x))
-        _POWERS[:] = both
-    return _POWERS[0], _POWERS[1]
+def lanes(data: np.ndarray, starts: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each start as a number, zero beyond the ``left`` bytes of the span; ``data`` has eight bytes to spare."""
+    view = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+    return view[starts] & _KEEP[np.minimum(left, 8)]
 
 
 class Texts:
@@ -81,11 +74,7 @@ class Words:
     @property
     def heads(self) -> np.ndarray:
         """The first eight bytes of each word, zero beyond its end."""
-        data = self.texts.data
-        view = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-        n = np.minimum(self.ends - self.starts, 8).astype(np.uint64)
-        keep = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
-        return view[self.starts] & keep[n]
+        return lanes(self.texts.data, self.starts, self.ends - self.starts)
 
     def word(self, i: int) -> bytes:
         return self.texts.data[self.starts[i] : self.ends[i]].tobytes()
@@ -151,20 +140,22 @@ def space_chunks(texts: Texts, cut: np.ndarray | None = None) -> Words:
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, which must be in ascending order and not overlap."""
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        base = starts[i]
-        j = max(i + 1, int(np.searchsorted(starts, base + _STEP)))
-        part = data[base : ends[j - 1]]
-        up, down = _powers(len(part) + 1)
-        s = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=s[1:])
-        a, b = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = (s[b] - s[a]) * down[a] + (b - a).astype(np.uint64) * M3
-        i = j
-    return mix64(out)
+    """64-bit hashes of the byte spans, whose ``data`` has eight bytes to spare: a mix of eight bytes after another, from the length on."""
+    size = ends - starts
+    out = mix64(size.astype(np.uint64) * M3 + M1)
+    on = None  # the spans that go on
+    for k in range(0, _LONG, 8):
+        if on is None:
+            out = mix64(out ^ lanes(data, starts, size))
+            on = np.flatnonzero((size > 8) & (size <= _LONG))
+        else:
+            out[on] = mix64(out[on] * M2 ^ lanes(data, starts[on] + k, size[on] - k))
+            on = on[size[on] > k + 8]
+        if not len(on):
+            break
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].data, seed=int(M1))
+    return out
 
 
 class HashTable:
@@ -218,8 +209,9 @@ class HashTable:
 class ChunkTable:
     """Rows of values for the distinct words met so far, worked out once for each.
 
-    ``work`` takes the bytes of new words and returns for each of them how many values it has, and all values.
-    Beyond ``most`` words or values the table is emptied; results don't depend on that.
+    ``work`` takes the bytes of new words and returns for each of them how many values it has, and all values. A word found by
+    its hash is compared byte by byte; of words with equal hashes the later ones go on under further hashes. Beyond ``most``
+    words or as many bytes and values by it the table is emptied; results don't depend on that.
     """
 
     def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 400_000):
@@ -229,31 +221,70 @@ class ChunkTable:
     def _clear(self) -> None:
         self.table = HashTable()
         self.pool, self.used = np.empty(1 << 14, self.dtype), 0
-        self.at, self.lens = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0  # of words beyond their first eight bytes
+        self.at, self.lens, self.size, self.rest = (np.empty(1 << 12, np.int64) for _ in range(4))
 
     def rows(self, words: Words) -> np.ndarray:
         """The row of each word."""
-        if self.table.n > self.most or self.used > 8 * self.most:
+        if self.table.n > self.most or self.used > 8 * self.most or self.filled > 16 * self.most:
             self._clear()
-        h, heads = words.hashes, words.heads
-        got = self.table.find(h, heads)
-        miss = np.flatnonzero(got < 0)
-        if len(miss):
-            order = miss[np.lexsort((heads[miss], h[miss]))]
-            first = np.ones(len(order), bool)
-            first[1:] = (h[order[1:]] != h[order[:-1]]) | (heads[order[1:]] != heads[order[:-1]])
-            new = order[first]
-            lens, flat = self.work([words.word(i) for i in new])
-            rows = self.table.add(h[new], heads[new])
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-            while self.table.n > len(self.at):
-                self.at, self.lens = (np.concatenate([a, np.empty_like(a)]) for a in (self.at, self.lens))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.at[rows], self.lens[rows] = self.used + np.cumsum(lens) - lens, lens
-            self.used += len(flat)
-            got[order] = rows[np.cumsum(first) - 1]
-        return got
+        heads, size = words.heads, words.ends - words.starts
+        out, left, h = np.empty(len(words), np.int64), np.arange(len(words)), words.hashes
+        while len(left):
+            got = self.table.find(h, heads[left])
+            miss = np.flatnonzero(got < 0)
+            if len(miss):
+                order = miss[np.lexsort((heads[left[miss]], h[miss]))]
+                one, two = h[order], heads[left[order]]
+                first = np.ones(len(order), bool)
+                first[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+                got[order] = self._learn(words, left[order[first]], one[first], two[first])[np.cumsum(first) - 1]
+            same = self._same(words, left, got, size[left])
+            if same.all():
+                out[left] = got
+                break
+            out[left[same]] = got[same]
+            left, h = left[~same], mix64(h[~same] + M1)
+        return out
+
+    def _learn(self, words: Words, new: np.ndarray, h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """New rows for words under these keys."""
+        raw = [words.word(i) for i in new.tolist()]
+        lens, flat = self.work(raw)
+        rows = self.table.add(h, heads)
+        more = b"".join([w[8:] for w in raw])
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while self.filled + len(more) + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
+        while self.table.n > len(self.at):
+            self.at, self.lens, self.size, self.rest = (np.concatenate([a, np.empty_like(a)]) for a in (self.at, self.lens, self.size, self.rest))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.bytes[self.filled : self.filled + len(more)] = np.frombuffer(more, np.uint8)
+        size = words.ends[new] - words.starts[new]
+        beyond = np.maximum(size - 8, 0)
+        self.at[rows], self.lens[rows] = self.used + np.cumsum(lens) - lens, lens
+        self.size[rows], self.rest[rows] = size, self.filled + np.cumsum(beyond) - beyond
+        self.used += len(flat)
+        self.filled += len(more)
+        return rows
+
+    def _same(self, words: Words, which: np.ndarray, rows: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether each word, whose first eight bytes are those of the row, is the row's word."""
+        same = self.size[rows] == size
+        data = words.texts.data
+        on = np.flatnonzero(same & (size > 8) & (size <= _LONG))
+        for k in range(8, _LONG, 8):
+            if not len(on):
+                break
+            left = size[on] - k
+            equal = lanes(data, words.starts[which[on]] + k, left) == lanes(self.bytes, self.rest[rows[on]] + k - 8, left)
+            same[on[~equal]] = False
+            on = on[equal & (left > 8)]
+        for i in np.flatnonzero(same & (size > _LONG)).tolist():
+            at, n = self.rest[rows[i]], size[i] - 8
+            same[i] = np.array_equal(data[words.ends[which[i]] - n : words.ends[which[i]]], self.bytes[at : at + n])
+        return same
 
 
 def gather(pool: np.ndarray, at: np.ndarray, lens: np.ndarray) -> np.ndarray:

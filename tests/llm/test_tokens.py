@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
+from pagegrain.llm import words
 from pagegrain.llm.packing import best_fit_decreasing, pack_documents
 from pagegrain.llm.token_counts import TokenCounter, token_counts
 from pagegrain.llm.token_store import FRAME_IDS, StoreReader, StoreWriter, token_store
@@ -48,6 +49,37 @@ def test_counter_equals_the_library():
     assert size.tolist() == [len(t.encode()) for t in texts]
 
 
+def twins():
+    """Two words that every polynomial hash modulo a power of two takes for one."""
+    a, b = "a", "b"
+    for _ in range(12):
+        a, b = a + b, b + a
+    return ["xxxxxxxx" + a, "xxxxxxxx" + b]
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_words_are_compared_and_not_only_their_hashes(monkeypatch, same):
+    if same:  # all words of equal first bytes collide
+        monkeypatch.setattr(words, "hash_spans", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = [*twins(), "aaaaaaaabcd aaaaaaaabce aaaaaaaab aaaaaaaa aaaaaaaabcd", "ab ab\0 ab\0\0", " ".join("y" * 300 + x for x in "abc"), *twins()[::-1]]
+    for path, spaces in ((WORD, "dropped"), (BYTE, "joined")):
+        want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+        encoder = ChunkEncoder(path, spaces)
+        for _ in range(2):
+            ids, borders = encoder.encode(pa.array(texts))
+            assert [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:], strict=True)] == want
+    assert TokenCounter(WORD).counts(pa.array(texts))[1].tolist() == [len(e.ids) for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+
+
+def test_hashes_tell_twins_apart():
+    from pagegrain.llm.set_join import shingle_sets
+
+    found = words.runs(words.Texts(pa.array(twins())), words.NOT_SPACE)
+    assert len(set(found.hashes.tolist())) == 2
+    one, two = shingle_sets(pa.array([f"{t} one two three four five" for t in twins()]))
+    assert len(np.intersect1d(one, two)) == 2
+
+
 def test_store_reads_only_what_is_asked():
     w = StoreWriter()
     docs = [np.full(n, i % 50_000, np.uint32) for i, n in enumerate([1, 0, 70_000, 5, FRAME_IDS, 3, 2])]
