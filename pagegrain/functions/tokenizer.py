@@ -13,16 +13,19 @@ from pagegrain.functions.tables import LEGACY, LONGEST_LEGACY, NAMED, numeric_re
 
 RCDATA = frozenset(("title", "textarea"))
 RAWTEXT = frozenset(("style", "xmp", "iframe", "noembed", "noframes"))
+#: Start tags after which the text is of another kind; noscript only with scripting.
+SWITCHES = {**dict.fromkeys(RCDATA, "rcdata"), **dict.fromkeys((*RAWTEXT, "noscript"), "rawtext"), "script": "script", "plaintext": "plaintext"}
 #: Content kinds; "data" is the ordinary one.
 KINDS = ("data", "rcdata", "rawtext", "script", "plaintext", "cdata")
 
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _NAME = re.compile(r"[^\t\n\f />]+")
-_BARE_TAG = re.compile(r"</?([a-z][a-z0-9]*)>")
+#: Text, then a tag that holds nothing unusual: lower-case names, values without references, no stray marks.
+_RUN = re.compile(r"""([^<&\0]*+)(?:<(/?)([a-z][a-z0-9]*+)((?:[\t\n\f ]++[a-z][a-z0-9:_-]*+(?:=(?:"[^"&\0]*+"|'[^'&\0]*+'|[^\t\n\f "'=<>`&\0]++))?+(?=[\t\n\f />]))*+)[\t\n\f ]*+(/?)>)?+""")
+_PARTS = re.compile(r"""([a-z][a-z0-9:_-]*+)(?:=(?:"([^"]*+)"|'([^']*+)'|([^\t\n\f ]++)))?+""")
 _SPACE = re.compile(r"[\t\n\f ]*")
 _ATTRIBUTE = re.compile(r"=?[^\t\n\f />=]*")
 _UNQUOTED = re.compile(r"[^\t\n\f >]*")
-_TEXT = re.compile(r"[^<&\0]+")
 _REFERENCE = re.compile(r"[A-Za-z0-9]+")
 _NUMBER = re.compile(r"[0-9]+")
 _HEX = re.compile(r"[0-9A-Fa-f]+")
@@ -85,14 +88,25 @@ class Scanner:
     # --- content kinds -------------------------------------------------------------------------------------------
 
     def _data(self) -> None:
-        html, n = self.html, len(self.html)
+        html, n, held = self.html, len(self.html), self.held
         while self.at < n and self.kind == "data":
-            m = _TEXT.match(html, self.at)
-            if m:
-                self.held.append(m[0])
-                self.at = m.end()
+            m = _RUN.match(html, self.at)
+            text, slash, name, parts, closing = m.groups()
+            if text:
+                held.append(text)
+            at = m.end()
+            if name is not None:  # most tags
+                attrs = {}
+                if parts:
+                    for key, a, b, c in _PARTS.findall(parts):
+                        if key not in attrs:
+                            attrs[key] = a or b or c
+                self._tag_is(name, attrs, closing == "/", slash == "/", at)
                 continue
-            c = html[self.at]
+            self.at = at
+            if at >= n:
+                break
+            c = html[at]
             if c == "<":
                 self._markup()
             elif c == "&":
@@ -274,12 +288,7 @@ class Scanner:
     def _tag(self, is_end: bool) -> None:
         """A tag from its < to its >; one that the text ends in is dropped."""
         html, n = self.html, len(self.html)
-        begin = self.at
-        m = _BARE_TAG.match(html, begin)
-        if m:  # most tags have neither attributes nor capitals
-            self._tag_is(m[1], {}, False, is_end, m.end())
-            return
-        m = _NAME.match(html, begin + 1 + is_end)
+        m = _NAME.match(html, self.at + 1 + is_end)
         name = self._clean(m[0], m.start()).translate(_UPPER)
         at = m.end()
         attrs: dict[str, str] = {}
@@ -348,19 +357,16 @@ class Scanner:
 
     def _tag_is(self, name: str, attrs: dict[str, str], closing: bool, is_end: bool, at: int) -> None:
         self.at = at
-        self.flush()
+        if self.held:
+            self.flush()
         if is_end:
             self.sink.end_tag(name)
             return
         self.last_start = name
         self.sink.start_tag(name, attrs, closing)
-        if self.sink.namespace in (None, "html"):
-            if name in RCDATA:
-                self.kind = "rcdata"
-            elif name in RAWTEXT or name == "noscript" and self.scripting:
-                self.kind = "rawtext"
-            elif name == "script" or name == "plaintext":
-                self.kind = name
+        kind = SWITCHES.get(name)
+        if kind and (name != "noscript" or self.scripting) and self.sink.namespace in (None, "html"):
+            self.kind = kind
 
     def _clean(self, s: str, at: int) -> str:
         if "\0" in s:

@@ -39,8 +39,15 @@ IN_SELECT = frozenset("p div span button datalist selectedcontent menuitem".spli
 QUIRKS = ("-//w3c//dtd html 3.2", "-//w3c//dtd html 4.0 transitional", "-//w3c//dtd html 4.0 frameset", "-//w3c//dtd html 4.01 transitional", "-//w3c//dtd html 4.01 frameset", "html")
 
 
+#: Start tags with rules of their own in a body; formatting elements besides a and nobr have one rule.
+BODY_RULES = (
+    BLOCK_START | HEADINGS | HEAD_CONTENT | TABLE_PARTS | RAWTEXT
+    | frozenset("a applet area body br button dd dt embed form frame frameset head hr html image img input keygen li listing marquee math nobr noscript object optgroup option param plaintext pre rb rp rt rtc select source svg table textarea track wbr".split())
+)
+
+
 class Node:
-    __slots__ = ("kind", "name", "ns", "attrs", "data", "parent", "children", "content", "ids")
+    __slots__ = ("kind", "name", "ns", "attrs", "data", "parent", "children", "content", "ids", "open")
 
     def __init__(self, kind: str, name: str, ns: str | None = None, attrs: dict[str, str] | None = None, data: str | None = None):
         self.kind, self.name, self.ns, self.attrs, self.data = kind, name, ns, attrs if attrs is not None else {}, data
@@ -48,7 +55,8 @@ class Node:
         self.children: list[Node] = []
         self.content: Node | None = None  # of an HTML template
         self.ids: tuple | None = None  # of a doctype: name, public, system, force_quirks
-        if kind == "element" and name == "template" and ns == "html":
+        self.open = False  # whether the builder's stack holds it
+        if name == "template" and kind == "element" and ns == "html":
             self.content = Node("fragment", "#document-fragment")
 
     def append(self, child: Node) -> None:
@@ -136,17 +144,66 @@ def walk(root: Node):
         work.extend(reversed(node.children))
 
 
+class Stack(list):
+    """Open elements, with the number of each name, so that no name has to be looked for in a deep stack that lacks it."""
+
+    def __init__(self) -> None:
+        self.named: dict[str, int] = {}
+
+    def _in(self, node: Node) -> None:
+        node.open = True
+        self.named[node.name] = self.named.get(node.name, 0) + 1
+
+    def _out(self, node: Node) -> None:
+        node.open = False
+        self.named[node.name] -= 1
+
+    def has(self, name: str) -> bool:
+        return self.named.get(name, 0) > 0
+
+    def append(self, node: Node) -> None:
+        node.open = True
+        name = node.name
+        self.named[name] = self.named.get(name, 0) + 1
+        list.append(self, node)
+
+    def pop(self) -> Node:
+        node = list.pop(self)
+        node.open = False
+        self.named[node.name] -= 1
+        return node
+
+    def insert(self, at: int, node: Node) -> None:
+        self._in(node)
+        list.insert(self, at, node)
+
+    def remove(self, node: Node) -> None:
+        list.remove(self, node)
+        self._out(node)
+
+    def __setitem__(self, at: int, node: Node) -> None:
+        self._out(self[at])
+        self._in(node)
+        list.__setitem__(self, at, node)
+
+    def __delitem__(self, at: int | slice) -> None:
+        for node in self[at] if isinstance(at, slice) else (self[at],):
+            self._out(node)
+        list.__delitem__(self, at)
+
+
 class TreeBuilder:
     def __init__(self, context: tuple[str, str | None] | None = None, scripting: bool = False, iframe_srcdoc: bool = False, collect_errors: bool = False):
         self.scripting, self.srcdoc, self.collect = scripting, iframe_srcdoc, collect_errors
         self.found: list[str] = []
         self.doc = Node("fragment" if context else "document", "#document-fragment" if context else "#document")
-        self.stack: list[Node] = []
+        self.stack = Stack()
         self.formatting: list[Node | None] = []
         self.template_modes: list[str] = []
         self.head: Node | None = None
         self.form: Node | None = None
         self.quirks, self.frameset_ok, self.foster, self.skip_newline = False, True, False, False
+        self.shows = False  # whether a selectedcontent element was seen
         self.mode, self.after_text, self.table_text = "initial", "in_body", []
         self.before_table_text = "in_table"
         self.scanner: Scanner | None = None
@@ -179,6 +236,8 @@ class TreeBuilder:
         return bool(self.stack) and self.stack[-1].name in names
 
     def in_scope(self, name: str, stops: frozenset = SCOPE) -> bool:
+        if not self.stack.named.get(name):
+            return False
         for node in reversed(self.stack):
             if node.name == name:
                 return True
@@ -187,6 +246,8 @@ class TreeBuilder:
         return False
 
     def node_in_scope(self, target: Node) -> bool:
+        if not target.open:
+            return False
         for node in reversed(self.stack):
             if node is target:
                 return True
@@ -208,7 +269,7 @@ class TreeBuilder:
                 return True
             if node.name not in ("optgroup", "option"):
                 break
-        return any(n.name == "select" for n in self.stack) or self.context is not None and self.context.name == "select"
+        return self.stack.has("select") or self.context is not None and self.context.name == "select"
 
     def pop_until(self, *names: str) -> None:
         while self.stack and self.stack.pop().name not in names:
@@ -229,12 +290,13 @@ class TreeBuilder:
         self.pop_until("p")
 
     def close_p_in_scope(self) -> None:
-        if self.in_scope("p", BUTTON_SCOPE):
+        if self.stack.named.get("p") and self.in_scope("p", BUTTON_SCOPE):
             self.close_p()
 
     def place(self, target: Node | None = None) -> tuple[Node, int | None]:
         """The parent and index for a new node; index None is the end."""
-        target = target or self.current or self.doc
+        if target is None:
+            target = self.stack[-1] if self.stack else self.doc
         if self.foster and target.name in TABLE_WORDS:
             table = template = -1
             for i in range(len(self.stack) - 1, -1, -1):
@@ -262,7 +324,18 @@ class TreeBuilder:
     def add_text(self, s: str) -> None:
         if not s:
             return
-        parent, at = self.place()
+        if self.foster or not self.stack:
+            parent, at = self.place()
+        else:
+            top = self.stack[-1]
+            parent, at = top.content or top, None
+        if at is None and parent.kind == "element":
+            siblings = parent.children
+            if siblings and siblings[-1].kind == "text":
+                siblings[-1].data += s
+            else:
+                parent.append(Node("text", "#text", data=s))
+            return
         if parent.kind == "document":
             return
         siblings = parent.children
@@ -277,7 +350,11 @@ class TreeBuilder:
 
     def add(self, name: str, attrs: dict[str, str], ns: str = "html") -> Node:
         node = Node("element", name, ns, dict(attrs))
-        self.put(node, self.place())
+        if self.foster:
+            self.put(node, self.place())
+        else:
+            target = self.stack[-1] if self.stack else self.doc
+            (target.content or target).append(node)
         self.stack.append(node)
         return node
 
@@ -312,10 +389,10 @@ class TreeBuilder:
 
     def reconstruct(self) -> None:
         f = self.formatting
-        if not f or f[-1] is None or f[-1] in self.stack:
+        if not f or f[-1] is None or f[-1].open:
             return
         i = len(f) - 1
-        while i > 0 and f[i - 1] is not None and f[i - 1] not in self.stack:
+        while i > 0 and f[i - 1] is not None and not f[i - 1].open:
             i -= 1
         for k in range(i, len(f)):
             f[k] = self.add(f[k].name, f[k].attrs)
@@ -339,7 +416,7 @@ class TreeBuilder:
                 self.any_other_end(name)
                 return
             element = self.formatting[at]
-            if element not in self.stack:
+            if not element.open:
                 self.error("adoption-agency-1.3")
                 del self.formatting[at]
                 return
@@ -395,6 +472,9 @@ class TreeBuilder:
             self.stack.insert(self.stack.index(furthest) + 1, new)
 
     def any_other_end(self, name: str) -> None:
+        if not self.stack.has(name) and self.stack and self.stack[0].name == "html" and self.stack[0].ns == "html":
+            self.error("unexpected-end-tag")  # a search would end at the html element or before it
+            return
         for i in range(len(self.stack) - 1, -1, -1):
             node = self.stack[i]
             if node.name == name and node.ns == "html":
@@ -463,7 +543,9 @@ class TreeBuilder:
     # --- tokens ------------------------------------------------------------------------------------------------------
 
     def adjusted(self) -> Node | None:
-        return self.context if self.context is not None and len(self.stack) == 1 else self.current
+        if self.context is not None and len(self.stack) == 1:
+            return self.context
+        return self.stack[-1] if self.stack else None
 
     def html_point(self, node: Node) -> bool:
         if node.ns == "svg":
@@ -476,7 +558,7 @@ class TreeBuilder:
             if s.startswith("\n"):
                 s = s[1:]
         node = self.adjusted()
-        if s and node is not None and node.ns not in (None, "html") and not self.html_point(node) and not (node.ns == "math" and node.name in MATHML_TEXT):
+        if s and node is not None and node.ns != "html" and node.ns is not None and not self.html_point(node) and not (node.ns == "math" and node.name in MATHML_TEXT):
             if "\0" in s:
                 self.error("unexpected-null-character")
                 s = s.replace("\0", "\ufffd")
@@ -485,7 +567,7 @@ class TreeBuilder:
             self.add_text(s)
             return
         while s:
-            s = getattr(self, "text_" + self.mode, self.text_in_body)(s)
+            s = _TEXT.get(self.mode, TreeBuilder.text_in_body)(self, s)
 
     def comment(self, s: str) -> None:
         self.flush_table_text()
@@ -517,23 +599,26 @@ class TreeBuilder:
         self.mode = "before_html"
 
     def start_tag(self, name: str, attrs: dict[str, str], closing: bool) -> None:
-        self.flush_table_text()
+        if self.table_text:
+            self.flush_table_text()
         self.skip_newline = False
+        self.shows = self.shows or name == "selectedcontent"
         again = True
         while again:
             node = self.adjusted()
-            if node is None or node.ns in (None, "html") or node.ns == "math" and node.name in MATHML_TEXT and name not in ("mglyph", "malignmark") or node.ns == "math" and node.name == "annotation-xml" and name == "svg" or self.html_point(node):
-                again = getattr(self, "start_" + self.mode)(name, attrs, closing)
+            if node is None or node.ns == "html" or node.ns is None or node.ns == "math" and node.name in MATHML_TEXT and name not in ("mglyph", "malignmark") or node.ns == "math" and node.name == "annotation-xml" and name == "svg" or self.html_point(node):
+                again = _START[self.mode](self, name, attrs, closing)
             else:
                 again = self.start_foreign(name, attrs, closing)
 
     def end_tag(self, name: str) -> None:
-        self.flush_table_text()
+        if self.table_text:
+            self.flush_table_text()
         self.skip_newline = False
         node = self.adjusted()
-        if node is not None and node.ns not in (None, "html") and self.end_foreign(name):
+        if node is not None and node.ns != "html" and node.ns is not None and self.end_foreign(name):
             return
-        while getattr(self, "end_" + self.mode)(name):
+        while _END[self.mode](self, name):
             pass
 
     def eof(self) -> None:
@@ -765,7 +850,7 @@ class TreeBuilder:
                 return self.start_in_head(name, attrs, closing)
             self.stack.append(self.head)
             self.start_in_head(name, attrs, closing)
-            if self.head in self.stack:
+            if self.head.open:
                 self.stack.remove(self.head)
         elif name == "head":
             self.error("unexpected-start-tag")
@@ -797,9 +882,15 @@ class TreeBuilder:
         return ""
 
     def start_in_body(self, name: str, attrs: dict, closing: bool) -> bool:
-        if name == "html":
+        if name in FORMATTING and name not in ("a", "nobr"):
+            self.reconstruct()
+            self.push_formatting(self.add(name, attrs))
+        elif name not in BODY_RULES:
+            self.reconstruct()
+            self.add(name, attrs)
+        elif name == "html":
             self.error("unexpected-start-tag")
-            if self.stack and not any(n.name == "template" for n in self.stack):
+            if self.stack and not self.stack.has("template"):
                 self.add_missing(self.stack[0], attrs)
         elif name in HEAD_CONTENT or name == "noscript" and self.scripting:
             if name == "noscript":
@@ -808,7 +899,7 @@ class TreeBuilder:
             return self.start_in_head(name, attrs, closing)
         elif name == "body":
             self.error("unexpected-start-tag")
-            if len(self.stack) > 1 and self.stack[1].name == "body" and not any(n.name == "template" for n in self.stack):
+            if len(self.stack) > 1 and self.stack[1].name == "body" and not self.stack.has("template"):
                 self.frameset_ok = False
                 self.add_missing(self.stack[1], attrs)
         elif name == "frameset":
@@ -832,7 +923,7 @@ class TreeBuilder:
             self.add(name, attrs)
             self.skip_newline, self.frameset_ok = True, False
         elif name == "form":
-            templated = any(n.name == "template" for n in self.stack)
+            templated = self.stack.has("template")
             if self.form is not None and not templated:
                 self.error("unexpected-start-tag")
                 return False
@@ -843,7 +934,7 @@ class TreeBuilder:
         elif name in ("li", "dd", "dt"):
             self.frameset_ok = False
             family = ("li",) if name == "li" else ("dd", "dt")
-            for node in reversed(self.stack):
+            for node in reversed(self.stack) if any(map(self.stack.has, family)) else ():
                 if node.name in family:
                     self.imply_ends(node.name)
                     if not self.is_current(node.name):
@@ -875,7 +966,7 @@ class TreeBuilder:
                 self.adopt("a")
                 if node in self.formatting:
                     self.formatting.remove(node)
-                if node in self.stack:
+                if node.open:
                     self.stack.remove(node)
             self.reconstruct()
             self.push_formatting(self.add(name, attrs))
@@ -886,9 +977,6 @@ class TreeBuilder:
                 self.adopt("nobr")
                 self.reconstruct()
             self.push_formatting(self.add(name, attrs))
-        elif name in FORMATTING:
-            self.reconstruct()
-            self.push_formatting(self.add(name, attrs))
         elif name in ("applet", "marquee", "object"):
             self.reconstruct()
             self.add(name, attrs)
@@ -948,7 +1036,7 @@ class TreeBuilder:
             self.add_foreign(name, attrs, closing, name)
         elif name in TABLE_PARTS or name in ("frame", "head"):
             self.error("unexpected-start-tag")
-        else:
+        else:  # noscript without scripting
             self.reconstruct()
             self.add(name, attrs)
         return False
@@ -960,7 +1048,14 @@ class TreeBuilder:
                 return False
             self.mode = "after_body"
             return name == "html"
-        if name in BLOCK_END:
+        if name == "p":
+            if not self.in_scope("p", BUTTON_SCOPE):
+                self.error("unexpected-end-tag")
+                self.add("p", {})
+            self.close_p()
+        elif name in FORMATTING:
+            self.adopt(name)
+        elif name in BLOCK_END:
             if not self.in_scope(name):
                 self.error("unexpected-end-tag")
                 return False
@@ -969,7 +1064,7 @@ class TreeBuilder:
                 self.error("end-tag-too-early")
             self.pop_until(name)
         elif name == "form":
-            if any(n.name == "template" for n in self.stack):
+            if self.stack.has("template"):
                 if not self.in_scope("form"):
                     self.error("unexpected-end-tag")
                     return False
@@ -984,11 +1079,6 @@ class TreeBuilder:
             if self.current is not node:
                 self.error("end-tag-too-early")
             self.stack.remove(node)
-        elif name == "p":
-            if not self.in_scope("p", BUTTON_SCOPE):
-                self.error("unexpected-end-tag")
-                self.add("p", {})
-            self.close_p()
         elif name in ("li", "dd", "dt"):
             if not self.in_scope(name, LIST_SCOPE if name == "li" else SCOPE):
                 self.error("unexpected-end-tag")
@@ -1005,8 +1095,6 @@ class TreeBuilder:
             if not self.is_current(name):
                 self.error("end-tag-too-early")
             self.pop_until(*HEADINGS)
-        elif name in FORMATTING:
-            self.adopt(name)
         elif name in ("applet", "marquee", "object"):
             if not self.in_scope(name):
                 self.error("unexpected-end-tag")
@@ -1107,7 +1195,7 @@ class TreeBuilder:
             self.add_void(name, attrs)
         elif name == "form":
             self.error("unexpected-start-tag-in-table")
-            if self.form is None and not any(n.name == "template" for n in self.stack):
+            if self.form is None and not self.stack.has("template"):
                 self.form = self.add(name, attrs)
                 self.stack.pop()
         else:
@@ -1349,7 +1437,7 @@ class TreeBuilder:
     text_in_select_in_table = text_in_select
 
     def _leave_select(self) -> None:
-        if self.context is not None and self.context.name == "select" and not any(n.name == "select" for n in self.stack):
+        if self.context is not None and self.context.name == "select" and not self.stack.has("select"):
             self.context, self.mode = None, "in_body"
         else:
             self.pop_until("select")
@@ -1372,7 +1460,7 @@ class TreeBuilder:
                 self.scanner.kind = "plaintext"
         elif name == "select":
             self.error("unexpected-start-tag-in-select")
-            if any(n.name == "select" for n in self.stack):
+            if self.stack.has("select"):
                 self.pop_until("select")
                 self.reset_mode()
         elif name in ("input", "textarea"):
@@ -1624,7 +1712,7 @@ class TreeBuilder:
 
     def fill_selectedcontent(self) -> None:
         """A selectedcontent element shows what the selected option (else the first) of its select holds."""
-        for select in [n for n in walk(self.doc) if n.kind == "element" and n.name == "select"]:
+        for select in [n for n in (walk(self.doc) if self.shows else ()) if n.kind == "element" and n.name == "select"]:
             below = list(walk(select))
             target = next((n for n in below if n.kind == "element" and n.name == "selectedcontent"), None)
             options = [n for n in below if n.kind == "element" and n.name == "option"]
@@ -1634,6 +1722,10 @@ class TreeBuilder:
                     target.append(child.clone(contents=False))
 
 
+#: The methods of each insertion mode.
+_START, _END, _TEXT = ({name.removeprefix(kind): f for name, f in vars(TreeBuilder).items() if name.startswith(kind) and name != f"{kind}tag"} for kind in ("start_", "end_", "text_"))
+
+
 def parse(html: str, context: tuple[str, str | None] | None = None, scripting: bool = False, iframe_srcdoc: bool = False, xml_coercion: bool = False, collect_errors: bool = False) -> tuple[Node, list[tuple]]:
     """The tree of a document or fragment, and its errors (source, code, line, column): the scanner's, then the builder's."""
     builder = TreeBuilder(context, scripting, iframe_srcdoc, collect_errors)
