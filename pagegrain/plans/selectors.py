@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 class SelectorError(ValueError):
@@ -293,8 +296,8 @@ def compound_column(compound: tuple[Simple, ...], elements_only: bool = False) -
 def select(nodes: DataFrame, selector: str, elements_only: bool = False) -> DataFrame:
     """The nodes that match, each once. ``nodes`` needs doc_id and the columns of the nodes relation.
 
-    Selectors without combinators are one filter. Each combinator is one left semi join, with the left part reduced to its keys;
-    all of them have doc_id among their keys, so nodes that are partitioned by doc_id once aren't shuffled again
+    Selectors without combinators are one filter. A descendant is one window over each document, any other combinator one left
+    semi join on equal keys, with the left part reduced to those; doc_id is among all keys, so nodes that are partitioned by doc_id once aren't shuffled again
     (with spark.sql.requireAllClusterKeysForCoPartition=false).
     """
     group = parse_selector(selector)
@@ -314,74 +317,131 @@ def select(nodes: DataFrame, selector: str, elements_only: bool = False) -> Data
 
 
 def _chain(nodes: DataFrame, g: Complex, elements_only: bool) -> DataFrame:
+    """Descendants are one sorted pass over each document's rows: intervals nest, so a node has a matching ancestor if the largest end
+    of the matches before it in its tree is not before it. Later siblings compare with their parent's first match."""
     found = nodes.filter(compound_column(g.compounds[0], elements_only))
+    held = compound_column(g.compounds[0], elements_only)  # while it is a condition on the nodes themselves
     for link, compound in zip(g.links, g.compounds[1:], strict=True):
-        left = found.select(*(F.col(c).alias(f"l_{c}") for c in ("doc_id", "tree_id", "node_id", "last_pre", "parent_id", "sib_idx", "kind")))
-        right = nodes.filter(compound_column(compound, elements_only))
-        same = right["doc_id"] == F.col("l_doc_id")
+        here = compound_column(compound, elements_only)
         if link == " ":
-            on = same & (right["tree_id"] == F.col("l_tree_id")) & (right["node_id"] > F.col("l_node_id")) & (right["node_id"] <= F.col("l_last_pre"))
-        elif link == ">":
-            on = same & (right["parent_id"] == F.col("l_node_id"))
-        elif link == "+":
-            on = same & (right["prev_elem_id"] == F.col("l_node_id"))
+            both = nodes.withColumn("_left", held) if held is not None else nodes.join(found.select("doc_id", "node_id").withColumn("_left", F.lit(True)), ["doc_id", "node_id"], "left").withColumn("_left", F.coalesce("_left", F.lit(False)))
+            before = Window.partitionBy("doc_id", "tree_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, -1)
+            both = both.withColumn("_here", here).filter("_left or _here").withColumn("_end", F.max(F.when(F.col("_left"), F.col("last_pre"))).over(before))
+            found = both.filter((F.col("_end") >= F.col("node_id")) & F.col("_here")).select(nodes.columns)
         else:
-            left = left.filter("l_kind = 'element'")
-            on = same & (right["parent_id"] == F.col("l_parent_id")) & (right["sib_idx"] > F.col("l_sib_idx"))
-        found = right.join(left, on, "left_semi")
+            right = nodes.filter(here)
+            same = right["doc_id"] == F.col("l_doc_id")
+            if link == "~":
+                left = found.filter("kind = 'element'").groupBy(F.col("doc_id").alias("l_doc_id"), F.col("parent_id").alias("l_parent_id")).agg(F.min("sib_idx").alias("l_sib_idx"))
+                on = same & (right["parent_id"] == F.col("l_parent_id")) & (right["sib_idx"] > F.col("l_sib_idx"))
+            else:
+                left = found.select(F.col("doc_id").alias("l_doc_id"), F.col("node_id").alias("l_node_id"))
+                on = same & (right["parent_id" if link == ">" else "prev_elem_id"] == F.col("l_node_id"))
+            found = right.join(left, on, "left_semi")
+        held = None
     return found
 
 
 # --- inside one document ----------------------------------------------------------------------------------------------
 
 
-def _simple(s: Simple, r: dict) -> bool:
-    attrs = r["attrs"]
+def needs_positions(group: tuple[Complex, ...]) -> bool:
+    """Whether a match looks at positions among siblings."""
+
+    def local(s: Simple) -> bool:
+        return s.kind == "nth" or s.kind == "pseudo" and s.name not in ("empty", "root") or any(map(local, s.inner))
+
+    return any("+" in g.links or any(local(s) for c in g.compounds for s in c) for g in group)
+
+
+def _attribute_test(s: Simple) -> Callable[[dict], bool]:
+    name, low, w, op = s.name, s.name.lower(), s.value.lower() if s.fold else s.value, s.op
+
+    def value(r: dict) -> str | None:
+        v = r["attrs"].get(name)
+        return r["attrs"].get(low) if v is None else v
+
+    compare = {
+        "": lambda v: True,
+        "=": lambda v: v == w,
+        "~=": lambda v: bool(w) and w in v.split(" "),
+        "|=": lambda v: v == w or v.startswith(w + "-"),
+        "^=": lambda v: v.startswith(w),
+        "$=": lambda v: v.endswith(w),
+        "*=": lambda v: w in v,
+    }[op]
+
+    def test(r: dict) -> bool:
+        v = value(r)
+        return v is not None and compare(v.lower() if s.fold else v)
+
+    return test
+
+
+_PSEUDO_TESTS: dict[str, Callable[[dict], bool]] = {
+    "first-child": lambda r: r["elem_idx"] == 1,
+    "last-child": lambda r: r["elem_idx"] is not None and r["elem_idx"] == r["elem_cnt"],
+    "only-child": lambda r: r["parent_elem_cnt"] == 1,
+    "first-of-type": lambda r: r["type_idx"] == 1,
+    "last-of-type": lambda r: r["type_idx"] is not None and r["type_idx"] == r["type_cnt"],
+    "only-of-type": lambda r: r["type_cnt"] == 1,
+    "empty": lambda r: r["is_empty"],
+    "root": lambda r: r["parent_name"] in ("#document", "#document-fragment"),
+}
+
+
+def _simple_test(s: Simple) -> Callable[[dict], bool]:
+    """The condition on a row of the nodes relation, as a function."""
     if s.kind == "any":
-        return r["kind"] in ("element", "doctype")
+        return lambda r: r["kind"] in ("element", "doctype")
     if s.kind == "type":
-        return r["name"].lower() == s.name
+        return lambda r: r["name"] == s.name or r["name"].lower() == s.name
     if s.kind == "id":
-        return attrs.get("id") == s.name
+        return lambda r: r["attrs"].get("id") == s.name
     if s.kind == "class":
-        return s.name in [x for x in attrs.get("class", "").split(" ") if x]
+        return lambda r: s.name in r["attrs"].get("class", "").split(" ")
     if s.kind == "attr":
-        v = attrs.get(s.name, attrs.get(s.name.lower()))
-        if v is None or not s.op:
-            return v is not None
-        w = s.value
-        if s.fold:
-            v, w = v.lower(), w.lower()
-        return {"=": v == w, "~=": bool(w) and w in v.split(" "), "|=": v == w or v.startswith(w + "-"), "^=": v.startswith(w), "$=": v.endswith(w), "*=": w in v}[s.op]
+        return _attribute_test(s)
     if s.kind == "not":
-        return not all(_simple(x, r) for x in s.inner)
+        inner = _compound_test(s.inner)
+        return lambda r: not inner(r)
     if s.kind == "never":
-        return False
-    if s.kind == "nth":
-        kind = "type" if s.name.endswith("of-type") else "elem"
+        return lambda r: False
+    if s.kind == "pseudo":
+        return _PSEUDO_TESTS[s.name]
+    kind, last = "type" if s.name.endswith("of-type") else "elem", "last" in s.name
+
+    def nth(r: dict) -> bool:
         i = r[f"{kind}_idx"]
         if i is None:
             return False
-        i = r[f"{kind}_cnt"] - i + 1 if "last" in s.name else i
+        i = r[f"{kind}_cnt"] - i + 1 if last else i
         return i == s.b if s.a == 0 else (i - s.b) % s.a == 0 and (i >= s.b if s.a > 0 else i <= s.b)
-    if s.name == "only-child":
-        return r["parent_elem_cnt"] == 1
-    if s.name == "empty":
-        return r["is_empty"]
-    if s.name == "root":
-        return r["parent_name"] in ("#document", "#document-fragment")
-    if r["elem_idx"] is None:
-        return False
-    return {"first-child": r["elem_idx"] == 1, "last-child": r["elem_idx"] == r["elem_cnt"], "first-of-type": r["type_idx"] == 1, "last-of-type": r["type_idx"] == r["type_cnt"], "only-of-type": r["type_cnt"] == 1}[s.name]
+
+    return nth
+
+
+def _compound_test(compound: tuple[Simple, ...]) -> Callable[[dict], bool]:
+    tests = [_simple_test(s) for s in compound]
+    if len(tests) == 1:
+        return tests[0]
+    return lambda r: all(t(r) for t in tests)
+
+
+@functools.lru_cache(maxsize=256)
+def _tests(group: tuple[Complex, ...]) -> list[list[Callable[[dict], bool]]]:
+    return [[_compound_test(c) for c in g.compounds] for g in group]
 
 
 def match_rows(rows: list[dict], group: tuple[Complex, ...]) -> list[int]:
     """The node ids that match, in traversal order: one pass over the rows for each compound."""
     found: set[int] = set()
-    for g in group:
-        held = {r["node_id"] for r in rows if all(_simple(s, r) for s in g.compounds[0])}
-        for link, compound in zip(g.links, g.compounds[1:], strict=True):
-            here = [r for r in rows if all(_simple(s, r) for s in compound)]
+    for g, tests in zip(group, _tests(group), strict=True):
+        held = {r["node_id"] for r in rows if tests[0](r)}
+        for link, test in zip(g.links, tests[1:], strict=True):
+            if not held:
+                break
+            here = [r for r in rows if test(r)]
             if link == ">":
                 held = {r["node_id"] for r in here if r["parent_id"] in held}
             elif link == "+":
