@@ -6,6 +6,8 @@ Nothing here is recursive, so nesting may be as deep as a text allows.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pagegrain.functions.tables import (
     BLOCK_END,
     BLOCK_START,
@@ -1726,8 +1728,32 @@ class TreeBuilder:
 _START, _END, _TEXT = ({name.removeprefix(kind): f for name, f in vars(TreeBuilder).items() if name.startswith(kind) and name != f"{kind}tag"} for kind in ("start_", "end_", "text_"))
 
 
-def parse(html: str, context: tuple[str, str | None] | None = None, scripting: bool = False, iframe_srcdoc: bool = False, xml_coercion: bool = False, collect_errors: bool = False) -> tuple[Node, list[tuple]]:
-    """The tree of a document or fragment, and its errors (source, code, line, column): the scanner's, then the builder's."""
+class ParseError(NamedTuple):
+    """``line`` and ``column`` are those of the scanner; errors of the builder have none."""
+
+    source: str
+    code: str
+    line: int | None = None
+    column: int | None = None
+
+    def __str__(self) -> str:
+        return self.code if self.line is None else f"({self.line},{self.column}): {self.code}"
+
+
+class StrictModeError(ValueError):
+    """A strict parse met an error."""
+
+    def __init__(self, error: ParseError):
+        super().__init__(str(error))
+        self.error = error
+
+    def __reduce__(self) -> tuple:
+        return StrictModeError, (self.error,)
+
+
+def parse(html: str, context: tuple[str, str | None] | None = None, scripting: bool = False, iframe_srcdoc: bool = False, xml_coercion: bool = False, collect_errors: bool = False, strict: bool = False) -> tuple[Node, list[ParseError]]:
+    """The tree of a document or fragment, and its errors: the scanner's, then the builder's. ``strict`` raises the first of them."""
+    collect_errors = collect_errors or strict
     builder = TreeBuilder(context, scripting, iframe_srcdoc, collect_errors)
     kind, last = "data", ""
     if context and context[1] in (None, "html"):
@@ -1744,5 +1770,8 @@ def parse(html: str, context: tuple[str, str | None] | None = None, scripting: b
     builder.scanner = scanner
     scanner.run()
     builder.fill_selectedcontent()
-    errors = [("tokenizer", code, line, column) for code, line, column in scanner.errors()] if collect_errors else []
-    return builder.doc, errors + [("tree", code, None, None) for code in builder.found]
+    errors = [ParseError("tokenizer", *e) for e in scanner.errors()] if collect_errors else []
+    errors += [ParseError("tree", code) for code in builder.found]
+    if strict and errors:
+        raise StrictModeError(errors[0])
+    return builder.doc, errors

@@ -47,9 +47,12 @@ def apply_edit(root: Node, edit: Edit) -> None:
                 parent.insert_before(new, node)
         elif edit.action == "replace":
             new = list(fragment_nodes(edit.html, parent.name))
-            for n in new:
+            for n in new[:-1]:
                 parent.insert_before(n, node)
-            parent.remove_child(node)
+            if new:
+                parent.replace_child(new[-1], node)
+            else:
+                parent.remove_child(node)
         elif edit.action == "clone":
             at = next(k for k, c in enumerate(parent.children) if c is node)
             after = parent.children[at + 1] if at + 1 < len(parent.children) else None

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
@@ -18,7 +18,7 @@ from pagegrain.functions.encoding import decode_html
 from pagegrain.functions.nodeset import POSITIONS, number
 from pagegrain.functions.output import to_html, to_markdown, to_test_format, to_text
 from pagegrain.functions.tokenizer import tokenize
-from pagegrain.functions.tree import Node, parse
+from pagegrain.functions.tree import Node, StrictModeError, parse
 from pagegrain.plans.selectors import match_rows, needs_positions, parse_selector
 from pagegrain.runtime import ship_package
 
@@ -163,6 +163,27 @@ def parse_errors(df: DataFrame, column: str = "html", key: str = "doc_id", keep:
     return _relation(df, column, ERRORS, columns_of, key, transport, keep)
 
 
+def strict_status(df: DataFrame, column: str = "html", key: str = "doc_id", keep: tuple[str, ...] = (), transport: str | None = None, **options) -> DataFrame:
+    """(key, *keep, status): the error that a strict parse of a page would end with, described; null for pages without errors.
+
+    A job that has to fail on the first page with an error passes ``strict=True`` to any other operator.
+    """
+
+    def columns_of(page: Page) -> list[list]:
+        try:
+            parse(page.text, strict=True, **options)
+        except StrictModeError as e:
+            return [[str(e.error)]]
+        return [[None]]
+
+    return _relation(df, column, {"status": TEXT}, columns_of, key, transport, keep)
+
+
+def own_text() -> Column:
+    """A node's own text: the data of a text node, of any other node the empty string."""
+    return F.when(F.col("kind") == "text", F.col("data")).otherwise(F.lit(""))
+
+
 def describe_errors(errors: DataFrame) -> DataFrame:
     """With a column ``description``: (line,column): code, or the code alone."""
     return errors.withColumn("description", F.when(F.col("line").isNull(), F.col("code")).otherwise(F.format_string("(%d,%d): %s", "line", "column", "code")))
@@ -227,11 +248,11 @@ def decoded(df: DataFrame, column: str = "content", key: str = "doc_id", transpo
     return found.union(df.filter(F.col(column).isNull()).select(key, *keep, *none))
 
 
-def subtree_text(found: DataFrame, all_nodes: DataFrame, separator: str = "") -> DataFrame:
-    """(doc_id, node_id, text) of nodes of the relation, with built-in functions alone: the texts of their intervals in order."""
+def subtree_text(found: DataFrame, all_nodes: DataFrame, separator: str = "", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, node_id, *carry, text) of nodes of the relation, with built-in functions alone: the texts of their intervals in order."""
     texts = all_nodes.filter("kind = 'text'").select(F.col("doc_id").alias("t_doc"), F.col("tree_id").alias("t_tree"), F.col("node_id").alias("t_node"), "data")
-    keys = found.select("doc_id", "tree_id", "node_id", "last_pre")
+    keys = found.select("doc_id", "tree_id", "node_id", "last_pre", *carry)
     on = (F.col("t_doc") == F.col("doc_id")) & (F.col("t_tree") == F.col("tree_id")) & F.col("t_node").between(F.col("node_id"), F.col("last_pre"))
-    joined = keys.join(texts, on, "left").groupBy("doc_id", "node_id").agg(F.array_sort(F.collect_list(F.struct("t_node", "data"))).alias("parts"))
+    joined = keys.join(texts, on, "left").groupBy("doc_id", "node_id", *carry).agg(F.array_sort(F.collect_list(F.struct("t_node", "data"))).alias("parts"))
     text = F.array_join(F.transform("parts", lambda p: p["data"]), separator)
-    return joined.select("doc_id", "node_id", F.trim(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text"))
+    return joined.select("doc_id", "node_id", *carry, F.trim(F.regexp_replace(text, r"(?U)\s+", " ")).alias("text"))

@@ -293,6 +293,18 @@ def compound_column(compound: tuple[Simple, ...], elements_only: bool = False) -
     return out
 
 
+#: The columns of the nodes relation that selectors look at.
+SELECTOR_COLUMNS = ("node_id", "last_pre", "parent_id", "tree_id", "sib_idx", "kind", "name", "attrs", "elem_idx", "elem_cnt", "type_idx", "type_cnt", "prev_elem_id", "parent_elem_cnt", "is_empty", "parent_name")
+
+
+def selector_condition(selector: str, elements_only: bool = False) -> Column:
+    """A selector without combinators as a condition on the nodes relation, never null."""
+    group = parse_selector(selector)
+    if any(g.links for g in group):
+        raise ValueError("a selector with combinators isn't a condition on single nodes; use select")
+    return functools.reduce(lambda x, y: x | y, (compound_column(g.compounds[0], elements_only) for g in group))
+
+
 def select(nodes: DataFrame, selector: str, elements_only: bool = False) -> DataFrame:
     """The nodes that match, each once. ``nodes`` needs doc_id and the columns of the nodes relation.
 
@@ -301,12 +313,8 @@ def select(nodes: DataFrame, selector: str, elements_only: bool = False) -> Data
     (with spark.sql.requireAllClusterKeysForCoPartition=false).
     """
     group = parse_selector(selector)
-    local = [g for g in group if not g.links]
-    if len(local) == len(group):
-        test = compound_column(group[0].compounds[0], elements_only)
-        for g in group[1:]:
-            test = test | compound_column(g.compounds[0], elements_only)
-        return nodes.filter(test)
+    if not any(g.links for g in group):
+        return nodes.filter(selector_condition(selector, elements_only))
     parts = [_chain(nodes, g, elements_only) for g in group]
     if len(parts) == 1:
         return parts[0]

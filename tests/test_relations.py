@@ -110,3 +110,31 @@ def test_partitions_do_not_matter(spark):
 def test_entry(spark):
     assert entry.entry(spark).count() == 281
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_strict_parse_and_errors(spark):
+    from pagegrain.functions.tree import ParseError, StrictModeError, parse
+
+    assert parse("<!DOCTYPE html><p>x", strict=True)[1] == []
+    for page, want in (("<p>x", "expected-doctype-but-got-start-tag"), ("<!DOCTYPE html><p a=1 a=>x", "(1,25): missing-attribute-value")):
+        try:
+            parse(page, strict=True)
+        except StrictModeError as e:
+            assert str(e) == want and isinstance(e.error, ParseError)
+        else:
+            raise AssertionError(page)
+
+
+def test_commands(spark, capsys, tmp_path):
+    import io
+
+    from pagegrain.__main__ import main
+
+    page = "<!DOCTYPE html><title>T</title><p><a href=/x>one</a> <b>two</b>"
+    for args, want in ((["text"], "Tone two"), (["markdown"], "[one](/x) **two**"), (["query", "b"], "b\ttwo"), (["title"], "T"), (["links"], "/x\tone")):
+        assert main(args, io.StringIO(page)) == 0
+        assert capsys.readouterr().out.strip() == want
+    (tmp_path / "p.html").write_text(page)
+    assert main(["query", "a", str(tmp_path / "p.html")]) == 0 and capsys.readouterr().out == "a\tone\n"
+    assert main(["stream"], io.StringIO("<p>x")) == 0 and capsys.readouterr().out == "start p\ntext x\n"
+    assert main(["text"], io.StringIO("")) == 1

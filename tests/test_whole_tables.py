@@ -19,7 +19,7 @@ def test_references_of_whole_tables(spark, tmp_path):
     tables(spark, tmp_path)
     plain = {i: None if t is None else html.unescape(t) for i, t in enumerate(TEXTS)}
     page = {i: None if t is None else re.sub(r"\s+", " ", f"T{t}").strip() for i, t in plain.items()}
-    for name, want in (("entity_decoding_whole", plain), ("fragment_text_whole", plain), ("page_text_whole", page)):
+    for name, want in (("entity_decoding", plain), ("fragment_text", plain), ("page_text", page)):
         got = QUERIES[name](spark, str(tmp_path)).collect()
         assert len(got) == len(TEXTS)
         assert {r.doc_id: r.text for r in got} == want, name
