@@ -92,6 +92,26 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join covered using (r) left join found using (r)
 """
 
+#: CRC-32 bit by bit over the bytes of a text, a table of 256 remainders first.
+_OP4 = """
+with recursive step(i, k, c) as (select i, 0, i from range(256) t(i) union all select i, k + 1, case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end from step where k < 8),
+crc_table as (select list(c order by i) as t from step where k = 8),
+texts as (select row_number() over () as r, doc_id, coalesce(text, '') as text from documents),
+bytes as (select r, doc_id, octet_length(encode(text)) + 1 as size, hex(encode(text)) as h from texts),
+crcs as (select r, doc_id, size, case when h = '' then 0 else xor(list_reduce(list_transform(range(1, size), lambda k: ('0x' || substr(h, 2 * k - 1, 2))::bigint), lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) end as crc from bytes, crc_table),
+named as (select r, doc_id, size::bigint as size, crc::bigint as crc, (('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || '|' || crc::varchar || '|' || size::varchar), 1, 8))::bigint % 8192)::int as vslot from crcs),
+sums as (select vslot, sum(size)::bigint as bytes, count(*) as n from named group by vslot),
+ordered as (select vslot, bytes, row_number() over (order by bytes desc, vslot) as k from sums),
+assign(k, loads, vslot, shard) as (
+  select 0::bigint, list_transform(range(16), lambda x: 0::bigint), -1, -1
+  union all
+  select o.k, list_transform(loads, lambda x, i: case when i = list_position(loads, list_min(loads)) then x + o.bytes else x end), o.vslot, list_position(loads, list_min(loads))::int - 1
+  from assign a join ordered o on o.k = a.k + 1),
+placed as (select vslot, shard, coalesce(sum(n) over (partition by shard order by vslot rows between unbounded preceding and 1 preceding), 0) as base from assign join sums using (vslot))
+select doc_id, size, crc as text_crc32, 'bytes' as law, shard::int as shard, (base + row_number() over (partition by vslot order by doc_id nulls first, crc, size) - 1)::bigint as slot, null::int as grown_shard
+from named join placed using (vslot)
+"""
+
 _OP5 = rf"""
 with a as (select page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|\z)', 1) as h from pages),
 t as (select page_id, url, trim(regexp_replace({_DECODED.format("regexp_replace(regexp_replace(h, '</?(?:p|br|h1)>', ' ', 'g'), '<[^>]*>?', '', 'g')")}, '\s+', ' ', 'g')) as text from a)
@@ -122,4 +142,4 @@ from embeddings left join (select a as vec_id, count(*) as n from links group by
 """
 
 #: For the small tables of the driver's comparison; the other queries are tested against the library or brute force.
-ORACLE_SQL: dict[str, str] = {"op3_fm_index": _OP3, "op5_host_suffix": _OP5, "op7_set_join": _OP7, "op8_lattice": _OP8}
+ORACLE_SQL: dict[str, str] = {"op3_fm_index": _OP3, "op4_slot_shards": _OP4, "op5_host_suffix": _OP5, "op7_set_join": _OP7, "op8_lattice": _OP8}

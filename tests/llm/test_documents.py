@@ -198,6 +198,27 @@ def test_shards(spark, messy, messy_rows, empty):
     assert slot_shards.shard_documents(empty).count() == 0
 
 
+def test_rows_that_are_repeated_are_dealt(spark):
+    rows = spark.range(10_000).selectExpr("cast(5 as long) as doc_id", "'same text' as text").union(spark.range(10_000).selectExpr("id as doc_id", "'other text' as text")).repartition(7)
+    got = slot_shards.shard_documents(rows).collect()
+    size = collections.Counter()
+    for r in got:
+        size[r.shard] += r.size
+    assert len(got) == 20_000 and sorted(size) == list(range(16)) and max(size.values()) - min(size.values()) < 0.01 * max(size.values())
+    for s in size:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_versions_are_stored(spark, tmp_path):
+    sums = spark.createDataFrame([(i, 100 + i % 7, 1) for i in range(200)], "vslot int, bytes long, n_rows long")
+    maps = slot_shards.SlotMaps(spark, str(tmp_path / "maps"))
+    maps.write(slot_shards.first_map(sums, 4), 1)
+    maps.rebalance(1, sums, 5)
+    one, two = ({r.vslot: r.shard for r in maps.read(v).collect()} for v in (1, 2))
+    assert set(one.values()) == set(range(4)) and set(two.values()) == set(range(5)) and len(two) == 200
+    assert {r.version for r in maps.read(2).collect()} == {2}
+
+
 def test_map_versions(spark):
     sums = spark.createDataFrame([(i, 100 + i % 7, 1) for i in range(200)], "vslot int, bytes long, n_rows long")
     one = slot_shards.first_map(sums, 4).cache()
