@@ -1,9 +1,10 @@
 """Best-fit decreasing packing of documents into sequences of a fixed number of tokens.
 
-Documents longer than a sequence are first cut into full windows; what remains of each document is one piece. Pieces are
-dealt by a hash into bins of about ``GROUP`` pieces, and each bin is packed by itself: pieces in descending length, each
-into the tightest open window. The padding that this adds over packing all pieces at once is at most one open
-window for each length and bin, so it doesn't grow with the number of bins' pieces.
+Documents longer than a sequence are first cut into full windows, each of which is a sequence of its own; what remains of each
+document is one piece. These pieces are dealt by their numbers into bins of about ``GROUP`` pieces, and each bin is packed by
+itself: pieces in descending length, each into the tightest open window. The padding that this adds over packing all pieces at
+once is at most one open window for each length and bin, so it doesn't grow with the number of bins' pieces. A bin holds pieces of
+documents, never whole ones, so its size doesn't depend on their lengths.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagegrain.llm.common import blocks, doc_texts
 from pagegrain.llm.tokens import crc_ids, encoder
-from pagegrain.runtime import ship_package
+from pagegrain.runtime import shared_folder, ship_package
 
-WINDOW, GROUP = 1024, 50_000
+WINDOW, GROUP, BLOCK = 1024, 50_000, 4 << 20
 
 
 class CapacityTree:
@@ -81,15 +83,16 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return window, place
 
 
-PIECES = "doc_id long, row_key long, start long, length long, ids_crc32 long, doc_tokens long"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, piece long"
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, window: int) -> DataFrame:
-    """Pieces of each document: full windows, then the rest."""
+    """Pieces of each document: full windows, then the rest. ``piece`` tells the pieces of one evaluation apart."""
     ship_package(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=4 << 20):
+        number = TaskContext.get().partitionId() << 40
+        for t in blocks(batches, most=BLOCK):
             ids, borders = encoder(vocabulary, "joined").encode(t["text"])
             ids = np.insert(ids, borders[1:], end_id).astype("<u4")
             borders = borders + np.arange(len(borders))
@@ -99,34 +102,37 @@ def cut_documents(docs: DataFrame, vocabulary: str, end_id: int, window: int) ->
             start = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * window
             length = np.minimum(window, tokens[doc] - start)
             at = borders[doc] + start
-            crc = [crc_ids(ids[a : a + k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)]
-            whole = np.array([crc_ids(ids[a:b]) for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (whole[doc], start, length, np.array(crc, np.int64), tokens[doc]))], names=["doc_id", "row_key", "start", "length", "ids_crc32", "doc_tokens"])
+            crc = np.array([crc_ids(ids[a : a + k]) for a, k in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
+            piece = number + np.arange(len(doc))
+            number += len(doc)
+            yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks().take(pa.array(doc)), *(pa.array(x, pa.int64()) for x in (start, length, crc, tokens[doc], piece))], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "piece"])
 
     return doc_texts(docs).mapInArrow(cut, PIECES)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 0, window: int = WINDOW, group: int = GROUP) -> DataFrame:
-    """Pieces with their sequence and offset.
+    """Pieces with their sequence and offset: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone. Repeated rows are packed each for itself. Sequence ids are unique, not gapless.
+    Null and empty texts are the end id alone. Repeated rows are packed each for itself, and dealt by the numbers of their pieces,
+    so that they meet in no bin. A very long text is a sequence for each full window and one rest. Of pieces of equal length that
+    with the smaller (doc_id, start, checksum) goes first. Sequence ids are unique, not gapless: odd for full windows, even for
+    packed ones. Columns besides doc_id and text are ignored whatever their names; an empty table gives an empty result. Texts are
+    encoded once: the pieces, some 40 bytes each, are a table in the shared folder.
     """
     spark = docs.sparkSession
-    rows = doc_texts(docs).count()
-    bins = max(1, -(-rows // group))
-    pieces = cut_documents(docs, vocabulary, end_id, window)
-    # the first token of the piece decides too, so that a row repeated very often is spread by its windows
-    dealt = pieces.withColumn("bin", F.pmod(F.xxhash64("doc_id", "row_key", "start"), F.lit(bins)))
+    folder = shared_folder(spark, "pieces")
+    cut_documents(docs, vocabulary, end_id, window).write.parquet(folder)
+    pieces = spark.read.schema(PIECES).parquet(folder)
+    full, rest = pieces.filter(F.col("length") == window), pieces.filter(F.col("length") < window)
+    bins = max(1, -(-rest.count() // group))
+    dealt = rest.withColumn("bin", F.pmod(F.xxhash64("piece"), F.lit(bins)))
 
     def pack(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
         w, place = best_fit_decreasing(p["length"].to_numpy(), window)
-        return p.assign(sequence_id=w * bins + int(key[0]), offset=place)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
+        return p.assign(sequence_id=2 * (w * bins + int(key[0])), offset=place)[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]]
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     ship_package(spark)
-    return dealt.groupBy("bin").applyInPandas(pack, out)
-
-
-def packing(spark: SparkSession, docs: DataFrame, vocabulary: str) -> DataFrame:
-    return pack_documents(docs, vocabulary)
+    alone = full.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (2 * F.col("piece") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return alone.union(dealt.groupBy("bin").applyInPandas(pack, out))
