@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +32,28 @@ from pagegrain.llm.common import blocks, doc_texts, map_file, write_file
 from pagegrain.llm.tokens import crc_ids, encoder
 from pagegrain.runtime import shared_folder, ship_package
 
-FRAME_IDS = 1 << 16
+#: Ids that fill a frame, bytes of text that a task encodes at a time, and that it gets in all.
+FRAME_IDS, BLOCK, PART_BYTES = 1 << 16, 4 << 20, 128 << 20
 INDEX_MAGIC, SEEK_MAGIC, SEEK_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
 class StoreWriter:
-    """Collects the parts of one file; frames are compressed as soon as they are full."""
+    """One file, part by part: ``add`` gives the frames that are full, ``end`` the last one and the tables.
+
+    Only the frame at hand and the index (17 bytes a document) are held.
+    """
 
     def __init__(self, level: int = 1, width: int = 2):
         self.zstd = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
         self.kind = np.dtype(f"<u{width}")
-        self.frames, self.table, self.held, self.size = [], [], [], 0
-        self.ids, self.nulls, self.lens = [], [], []
+        self.table, self.held, self.size = [], [], 0
+        self.ids, self.nulls, self.lens = array("q"), bytearray(), array("q")
 
-    def add(self, doc_ids: list[int | None], ids: np.ndarray, borders: np.ndarray) -> None:
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, borders: np.ndarray) -> Iterator[bytes]:
         """Whole documents: ids[borders[i] : borders[i + 1]] belong to doc_ids[i]."""
-        self.ids += [d or 0 for d in doc_ids]
-        self.nulls += [d is None for d in doc_ids]
-        self.lens += np.diff(borders).tolist()
+        self.ids.extend(d or 0 for d in doc_ids)
+        self.nulls.extend(d is None for d in doc_ids)
+        self.lens.extend(np.diff(borders).tolist())
         at = 0
         for i in range(1, len(borders)):
             if borders[i] - borders[at] + self.size >= FRAME_IDS or i == len(borders) - 1:
@@ -55,20 +61,19 @@ class StoreWriter:
                 self.size += int(borders[i] - borders[at])
                 at = i
                 if self.size >= FRAME_IDS:
-                    self._close()
+                    yield self._close()
 
-    def _close(self) -> None:
+    def _close(self) -> bytes:
         raw = b"".join(self.held)
         frame = self.zstd.compress(raw)
-        self.frames.append(frame)
         self.table.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
         self.held, self.size = [], 0
+        return frame
 
-    def parts(self) -> Iterator[bytes]:
+    def end(self) -> Iterator[bytes]:
         if self.size:
-            self._close()
-        yield from self.frames
-        index = np.array(self.ids, "<i8").tobytes() + np.array(self.nulls, np.uint8).tobytes() + np.array(self.lens, "<i8").tobytes()
+            yield self._close()
+        index = np.array(self.ids, "<i8").tobytes() + bytes(self.nulls) + np.array(self.lens, "<i8").tobytes()
         index = struct.pack("<BQ", self.kind.itemsize, len(self.ids)) + self.zstd.compress(index)
         yield struct.pack("<II", INDEX_MAGIC, len(index)) + index
         seek = b"".join(struct.pack("<III", *row) for row in self.table) + struct.pack("<IBI", len(self.table), 0x80, SEEK_END)
@@ -133,31 +138,43 @@ class StoreReader:
         return out
 
 
-def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, spaces: str = "dropped", width: int = 2) -> list[tuple]:
+def write_store(docs: DataFrame, vocabulary: str, folder: str, end_id: int = 1, spaces: str = "dropped", width: int = 2, part_bytes: int = PART_BYTES) -> list[tuple]:
     """Encode whole texts (null: empty), append ``end_id`` to each, and write files in ascending doc_id order.
 
-    Rows are dealt by ranges of (doc_id, hash of the text), so neither repeated ids nor null ids (which come first)
-    meet in one task. Each task writes one file under a name of its own; files of lost or repeated attempts are not in
-    the result. Returns (first id of the file, rank, uri, documents, ids) for each file, in order.
+    Rows are dealt by ranges of (doc_id, hash of the text, number of the row), so neither repeated ids, null ids (which come first)
+    nor repeated rows must meet in one task; a task gets about ``part_bytes`` of text. It writes frames to its one file, under a name
+    of its own, as they are full; files of lost or repeated attempts are not in the result. Returns (rank, uri, documents, ids)
+    for each file, in order.
     """
-    ship_package(docs.sparkSession)
+    spark = docs.sparkSession
+    ship_package(spark)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, n = StoreWriter(width=width), 0
-        for t in blocks(batches, most=4 << 20):
-            ids, borders = encoder(vocabulary, spaces).encode(t["text"])
-            ids = np.insert(ids, borders[1:], end_id)
-            borders = borders + np.arange(len(borders))
-            n += len(ids)
-            out.add(t["doc_id"].to_pylist(), ids, borders)
-        if out.ids:
+
+        def parts(first: pa.Table, more: Iterator[pa.Table]) -> Iterator[bytes]:
+            nonlocal n
+            for t in chain([first], more):
+                ids, borders = encoder(vocabulary, spaces).encode(t["text"])
+                ids = np.insert(ids, borders[1:], end_id)
+                n += len(ids)
+                yield from out.add(t["doc_id"].to_pylist(), ids, borders + np.arange(len(borders)))
+            yield from out.end()
+
+        tables = (t for t in blocks(batches, most=BLOCK) if t.num_rows)
+        first = next(tables, None)
+        if first is not None:
             rank = TaskContext.get().partitionId()
             uri = f"{folder}/{rank:06d}-{uuid.uuid4().hex}.tokens"
-            write_file(uri, out.parts())
+            write_file(uri, parts(first, tables))
             yield pa.RecordBatch.from_pydict({"rank": [rank], "uri": [uri], "docs": [len(out.ids)], "ids": [n]})
 
-    rows = doc_texts(docs).repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    got = rows.mapInArrow(write, "rank long, uri string, docs long, ids long").collect()  # one row for each file
+    rows = doc_texts(docs)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    order = ["doc_id", F.xxhash64("text"), "row"]
+    dealt = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    got = dealt.select("doc_id", "text").mapInArrow(write, "rank long, uri string, docs long, ids long").collect()  # one row for each file
     return sorted((r.rank, r.uri, r.docs, r.ids) for r in got)
 
 
@@ -184,9 +201,10 @@ def read_store(spark: SparkSession, files: list[tuple]) -> DataFrame:
 
 
 def token_store(spark: SparkSession, docs: DataFrame, vocabulary: str, end_id: int = 1) -> DataFrame:
-    """Write the store to the shared folder and read it back.
+    """Write the store to the shared folder and read it back: doc_id, start, n_tokens, ids_crc32 of each row.
 
-    Null texts count as empty and get the end id alone; a null doc_id sorts first; repeated rows are all kept;
-    columns other than doc_id and text are ignored; an empty table gives an empty result.
+    Null texts count as empty and get the end id alone; a null doc_id sorts first; repeated rows are all kept, and rows of one
+    doc_id stand by the hash of their text, equal ones in any order; a very long text is one document in one frame; columns
+    other than doc_id and text are ignored whatever their names; an empty table gives an empty result.
     """
     return read_store(spark, write_store(docs, vocabulary, shared_folder(spark, "tokens"), end_id))

@@ -83,8 +83,7 @@ def test_hashes_tell_twins_apart():
 def test_store_reads_only_what_is_asked():
     w = StoreWriter()
     docs = [np.full(n, i % 50_000, np.uint32) for i, n in enumerate([1, 0, 70_000, 5, FRAME_IDS, 3, 2])]
-    w.add(list(range(7)), np.concatenate(docs), np.concatenate([[0], np.cumsum(list(map(len, docs)))]))
-    raw = b"".join(w.parts())
+    raw = b"".join([*w.add(list(range(7)), np.concatenate(docs), np.concatenate([[0], np.cumsum(list(map(len, docs)))])), *w.end()])
     r = StoreReader(raw)
     assert [d.tolist() for _, _, d in r.documents()] == [d.tolist() for d in docs]
     r = StoreReader(raw)
@@ -150,3 +149,20 @@ def test_packing_on_spark(messy, messy_rows, empty):
             at += length
         assert at <= 1024
     assert pack_documents(empty, BYTE).count() == 0
+
+
+def test_repeated_rows_are_packed_each(spark):
+    df = spark.range(3000).selectExpr("cast(1 as long) as doc_id", "'a few words' as text").repartition(3)
+    rows = pack_documents(df, BYTE, group=500).collect()
+    assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
+    used = {}
+    for r in rows:
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    assert max(used.values()) <= 1024 and len(used) <= 3000 * rows[0].length / 1024 + 12
+
+
+def test_repeated_rows_are_stored_each(spark):
+    df = spark.range(500).selectExpr("cast(1 as long) as doc_id", "'a few words' as text").union(spark.range(20).selectExpr("id as doc_id", "'other' as text")).repartition(3)
+    rows = token_store(spark, df, WORD).orderBy("start").collect()
+    assert len(rows) == 520 and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    assert [r.start for r in rows] == np.cumsum([0] + [r.n_tokens for r in rows])[:-1].tolist()
