@@ -10,8 +10,9 @@ overlapping occurrences merge to removal spans.
 
 from __future__ import annotations
 
-import hashlib
-import pickle
+import io
+import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import blocks, doc_texts, only, ragged, read_file, write_file
+from pagegrain.llm.common import blocks, doc_texts, only, ragged, read_file, tidy, write_file
 from pagegrain.llm.words import LETTER_OR_DIGIT, HashTable, Texts, Words, runs
 from pagegrain.runtime import shared_folder, ship_package
 
-WIDTH, SAMPLE, PHRASE_WORDS = 10, 8, 1_000_000
+WIDTH, SAMPLE, PHRASE_WORDS, SHARD = 10, 8, 1_000_000, 4 << 20
 
 
 class WaveletTree:
@@ -133,14 +134,12 @@ class PhraseBlock:
     def __init__(self, items: list[tuple[str, bytes]], width: int):
         texts = Texts(pa.array([t for _, t in items], pa.binary()), lower=True)
         words = runs(texts, LETTER_OR_DIGIT)
-        self.names = sorted({name for name, _ in items})
-        number = {name: i for i, name in enumerate(self.names)}
+        names = sorted({name for name, _ in items})
+        number = {name: i for i, name in enumerate(names)}
         owner = np.array([number[name] for name, _ in items], np.int64)
         h, heads = words.hashes, words.heads
         both = np.rec.fromarrays([h, heads])
         _, first, inverse = np.unique(both, return_index=True, return_inverse=True)
-        self.alphabet = HashTable()
-        self.alphabet.add(h[first], heads[first])
         symbols = inverse.astype(np.int64) + 1
         n = words.counts
         windows = np.where(n > 0, np.maximum(1, n - width + 1), 0)
@@ -151,12 +150,33 @@ class PhraseBlock:
         for k in range(width):
             on = size > k
             grid[on, k] = symbols[at[on] + k]
-        self.phrases, back = np.unique(grid, axis=0, return_inverse=True) if len(grid) else (grid, np.zeros(0, np.int64))
-        self.lengths = (self.phrases > 0).sum(axis=1)
-        pairs = np.unique(back.ravel() * (len(self.names) + 1) + owner[item]) if len(grid) else back
-        self.pair_item = pairs % (len(self.names) + 1)
-        self.pair_first = np.searchsorted(pairs // (len(self.names) + 1), np.arange(len(self.phrases) + 1))
-        self.shortest = int(self.lengths.min()) if len(self.phrases) else 0
+        phrases, back = np.unique(grid, axis=0, return_inverse=True) if len(grid) else (grid, np.zeros(0, np.int64))
+        pairs = np.unique(back.ravel() * (len(names) + 1) + owner[item]) if len(grid) else back
+        self._hold(names, h[first], heads[first], phrases, pairs)
+
+    def _hold(self, names: list[str], keys: np.ndarray, heads: np.ndarray, phrases: np.ndarray, pairs: np.ndarray) -> None:
+        self.names, self.phrases, self.pairs = names, phrases, pairs
+        self.alphabet = HashTable()
+        self.alphabet.add(keys, heads)
+        self.lengths = (phrases > 0).sum(axis=1)
+        self.pair_item = pairs % (len(names) + 1)
+        self.pair_first = np.searchsorted(pairs // (len(names) + 1), np.arange(len(phrases) + 1))
+        self.shortest = int(self.lengths.min()) if len(phrases) else 0
+
+    def dump(self) -> bytes:
+        """The block as plain arrays."""
+        names = [x.encode() for x in self.names]
+        n, out = self.alphabet.n, io.BytesIO()
+        np.savez(out, names=np.frombuffer(b"".join(names), np.uint8), sizes=np.array(list(map(len, names)), np.int64), keys=self.alphabet.keys[:n], heads=self.alphabet.heads[:n], phrases=self.phrases, pairs=self.pairs)
+        return out.getvalue()
+
+    @classmethod
+    def load(cls, raw: bytes) -> PhraseBlock:
+        block, got = cls.__new__(cls), np.load(io.BytesIO(raw), allow_pickle=False)
+        ends, joined = np.cumsum(got["sizes"]), got["names"].tobytes()
+        names = [joined[b - n : b].decode() for b, n in zip(ends.tolist(), got["sizes"].tolist(), strict=True)]
+        block._hold(names, got["keys"], got["heads"], got["phrases"], got["pairs"])
+        return block
 
     def search(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
         """Of a shard's words: whether each lies in an occurrence, and the distinct (text, item) pairs."""
@@ -194,30 +214,41 @@ class PhraseBlock:
 
 
 def write_phrases(benchmark: DataFrame, width: int, most_words: int = PHRASE_WORDS) -> list[str]:
-    """Phrase blocks of a bounded number of words, in the shared folder. Items are read one after another."""
-    spark, out, held, size = benchmark.sparkSession, [], [], 0
+    """Phrase blocks of about a bounded number of words, built by the executors as files of the shared folder; an item that is repeated with
+    its text counts once. Returns their uris, one for each ``most_words`` words of the benchmark."""
+    spark = benchmark.sparkSession
+    ship_package(spark)
     folder = shared_folder(spark, "phrases")
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text")).filter("text <> ''").distinct()
+    words = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 4
+    parts = 1 + words // most_words
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("item", "text"), F.lit(parts)).cast("int"))
+
+    def build(t: pa.Table) -> pa.Table:
+        uri = f"{folder}/{t['part'][0].as_py():05d}-{uuid.uuid4().hex}.phrases"
+        write_file(uri, [PhraseBlock(list(zip(t["item"].to_pylist(), (x.encode() for x in t["text"].to_pylist()), strict=True)), width).dump()])
+        return pa.table({"uri": [uri]})
+
+    return sorted(r.uri for r in dealt.groupBy("part").applyInArrow(tidy(build), "uri string").collect())
+
 
-    def close() -> None:
-        nonlocal held, size
-        out.append(f"{folder}/{len(out):05d}.phrases")
-        write_file(out[-1], [pickle.dumps(PhraseBlock(held, width))])
-        held, size = [], 0
+#: Phrase blocks that a worker keeps at a time.
+KEPT = 3
 
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), F.col("text").cast("string").alias("text"))
-    for r in rows.toLocalIterator():
-        if r.text:
-            held.append((r.item, r.text.encode()))
-            size += len(r.text) // 4
-            if size > most_words:
-                close()
-    if held:
-        close()
-    return out
 
+def _phrases(uri: str, uris: list[str]) -> PhraseBlock:
+    held = only(tuple(uris), OrderedDict)
+    if uri not in held:
+        while len(held) >= KEPT:
+            held.popitem(last=False)
+        held[uri] = PhraseBlock.load(read_file(uri))
+    held.move_to_end(uri)
+    return held[uri]
 
-def _phrases(uri: str) -> PhraseBlock:
-    return only(uri, lambda: pickle.loads(read_file(uri)))  # noqa: S301  written by write_phrases
+
+def _block(uris: list[str]) -> int:
+    """Bytes of text in a shard: more where phrase blocks have to be read again for each of them."""
+    return SHARD if len(uris) <= KEPT else 4 * SHARD
 
 
 class Matches:
@@ -228,7 +259,7 @@ class Matches:
         self.hit = np.zeros(len(self.words), bool)
         self.items: dict[int, set[str]] = {}
         for uri in uris:
-            block = _phrases(uri)
+            block = _phrases(uri, uris)
             hit, pairs = block.search(self.words)
             self.hit |= hit
             for text, item in pairs.tolist():
@@ -250,14 +281,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     """doc_id, n_words, n_hit, items (array of item ids as strings, sorted), spans (array of start and end bytes).
 
     A null text has no words; an item without words has no window; an item of fewer than ``width`` words is one window;
-    repeated documents and items are each found; without benchmark rows nothing is hit. No shuffle: a document lies in one
-    shard, and phrase blocks (bounded in size) are read one after another.
+    repeated documents and items are each found; overlapping windows and those of equal text count each place once; without
+    benchmark rows nothing is hit; columns besides doc_id and text are ignored whatever their names; an empty table gives an
+    empty result. A very long text is a shard of its own, whole. No shuffle of documents: each lies in one shard, and phrase
+    blocks (bounded in size) are read one after another.
     """
     ship_package(docs.sparkSession)
     uris = write_phrases(benchmark, width)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=4 << 20):
+        for t in blocks(batches, most=_block(uris)):
             m = Matches(t["text"], uris)
             n = t.num_rows
             spans = [[{"start": a, "end": b} for a, b in s] for s in m.spans()]
@@ -270,18 +303,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of each row, from ``find_contamination``; the same cases hold."""
     found = find_contamination(docs, benchmark, width)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose text holds no window of the benchmark."""
+    """The rows of ``docs``, all columns as they are, whose text holds no window of the benchmark.
+
+    Null and empty texts hold none and stay, as do rows without an id; each of some repeated rows is kept or dropped alike; without
+    benchmark rows all stay.
+    """
     ship_package(docs.sparkSession)
     uris = write_phrases(benchmark, width)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=4 << 20):
-            yield from t.filter(pa.array(Matches(t["text"], uris).n_hit == 0)).to_batches()
+        for t in blocks(batches, most=_block(uris)):
+            yield from t.filter(pa.array(Matches(t["text"].cast(pa.string()), uris).n_hit == 0)).to_batches()
 
     return docs.mapInArrow(keep, docs.schema)
 
@@ -293,7 +331,3 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
         out.append(raw[at:a])
         at = b
     return b"".join([*out, raw[at:]]).decode()
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
