@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -90,42 +90,56 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def write_file(uri: str, parts: Iterable[bytes]) -> int:
-    """Write a new file under a temporary name, then move it into place; return its size."""
+    """Write a file under a name of this attempt, then move it into place; return its size."""
     fs, path = open_fs(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
-    size = 0
-    with fs.open_output_stream(path + ".part") as out:
+    size, part_name = 0, f"{path}.{uuid.uuid4().hex}.part"
+    with fs.open_output_stream(part_name) as out:
         for part in parts:
             out.write(part)
             size += len(part)
-    fs.move(path + ".part", path)
+    fs.move(part_name, path)
     return size
 
 
+def drop_folder(uri: str) -> None:
+    """Delete a folder of the shared root that nothing reads any more."""
+    fs, path = open_fs(uri)
+    try:
+        fs.delete_dir(path)
+    except OSError:
+        pass  # it is gone, or the store keeps it; either way results don't depend on it
+
+
 def read_file(uri: str, offset: int = 0, length: int | None = None) -> bytes:
     fs, path = open_fs(uri)
     with fs.open_input_file(path) as f:
         return f.read_at(f.size() - offset if length is None else length, offset)
 
 
-def map_file(uri: str) -> np.ndarray:
-    """The bytes of a shared file as a memory-mapped array.
-
-    Files on a mounted file system are mapped in place. Of other stores a copy is mapped whose local name
-    is removed at once, so that nothing stays behind when the process ends.
-    """
+def map_file(uri: str) -> tuple[np.ndarray, bool]:
+    """The bytes of a shared file, and whether they are memory-mapped: those of other stores are read."""
     fs, path = open_fs(uri)
-    if fs.get_file_info(path).size == 0:
-        return np.empty(0, np.uint8)
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, np.uint8, "r")
-    fd, name = tempfile.mkstemp()
-    with os.fdopen(fd, "wb") as out, fs.open_input_stream(path) as f:
-        while block := f.read(1 << 22):
-            out.write(block)
-    got = np.memmap(name, np.uint8, "r")
-    os.unlink(name)
-    return got
+        size = fs.get_file_info(path).size
+        return (np.asarray(np.memmap(path, np.uint8, "r")) if size else np.empty(0, np.uint8)), True
+    return np.frombuffer(read_file(uri), np.uint8), False
+
+
+class FileBytes:
+    """A shared file as an array whose slices are read when they are asked for."""
+
+    def __init__(self, uri: str):
+        fs, path = open_fs(uri)
+        self.file = fs.open_input_file(path)
+        self.size = self.file.size()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(self.size)
+        return np.frombuffer(self.file.read_at(b - a, a), np.uint8)
 
 
 def blocks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 32 << 20) -> Iterator[pa.Table]:

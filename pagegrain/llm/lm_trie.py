@@ -1,33 +1,36 @@
 """Language-model scoring with an n-gram trie in Elias-Fano lists.
 
 The model interpolates three orders: P3 = d(uvw)/c(uv) + g(uv) P2, P2 = d(vw)/c(v) + g(v) P1, P1 = (c + 0.1)/(N + 0.1 (V + 1)),
-where d takes ``DISCOUNT`` from counts and g is the mass left over. The registered query keeps every n-gram of orders 2 and 3 (``least=1``); callers
-that want a smaller trie can leave out those that occur less than ``least`` times, ``LEAST_COUNT`` where they name none. Words are known by 64-bit hashes; a word's number is its rank among all words.
+where d takes ``DISCOUNT`` from counts and g is the mass left over. Every n-gram of the training rows is kept. Words are known by
+64-bit hashes; a word's number is its rank among all words.
 
 Levels are files in the shared folder, in shards that grow in number with the input: words by ranges of their hashes,
 bigrams together with the trigrams that go on from them by a hash of the bigram. A level is one monotone list: the
 pointer of the context (its number in the level before, shifted) plus the word, so the successors of a context stand
 together and a query is a successor search relative to its context. Probabilities are quantised to 16 bits of their
-logarithm. Files are memory-mapped, never broadcast or held in memory.
+logarithm. A shard's files have names of their own by number, so tasks need no list of them; they are memory-mapped, never
+broadcast. Of a store that can't be mapped a worker holds the files that it used last.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import blocks, doc_texts, map_file, mix64, only, tidy, write_file
+from pagegrain.llm.common import blocks, doc_texts, drop_folder, map_file, mix64, only, tidy, write_file
 from pagegrain.llm.words import NOT_SPACE, HashTable, Texts, runs
 from pagegrain.runtime import shared_folder, ship_package
 
-LEAST_COUNT, DISCOUNT, FOLDS, BLOCK = 2, 0.75, 10, 4 << 20
+DISCOUNT, FOLDS, BLOCK = 0.75, 10, 4 << 20
 END = np.uint64(0xE4D0E4D0E4D0E4D0)  # stands for the end of a text among the hashes of words
 STEP = 2048  # quantised steps of a power of ten
+#: Bytes of text for a shard, and the most shards (as a power of two).
+SHARD_BYTES, MOST_BITS = 16 << 20, 20
 
 
 def quantise(p: np.ndarray) -> np.ndarray:
@@ -38,116 +41,169 @@ def quantise(p: np.ndarray) -> np.ndarray:
 POWER = 10.0 ** (-np.arange(65536) / STEP)
 
 
+def _select_table() -> np.ndarray:
+    """The place of the j-th one of each byte, by 8 * byte + j."""
+    out = np.zeros(256 * 8, np.uint64)
+    for byte in range(256):
+        ones = [k for k in range(8) if byte >> k & 1]
+        out[8 * byte : 8 * byte + len(ones)] = ones
+    return out
+
+
+_SELECT = _select_table()
+_FIVES, _THREES, _FIFTEENS, _ONES, _TOPS = (np.uint64(x * 0x0101010101010101) for x in (0x55, 0x33, 0x0F, 0x01, 0x80))
+_U = [np.uint64(k) for k in range(65)]
+
+
+class _Ones:
+    """Words of 64 bits, with the number of ones up to each of their bytes."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+        s = words - ((words >> _U[1]) & _FIVES)
+        s = (s & _THREES) + ((s >> _U[2]) & _THREES)
+        self.upto = ((s + (s >> _U[4])) & _FIFTEENS) * _ONES
+
+    def place(self, k: np.ndarray) -> np.ndarray:
+        """The place of the k-th one of each word, which must have it."""
+        shift = np.bitwise_count(((k * _ONES) | _TOPS) - self.upto & _TOPS).astype(np.uint64) << _U[3]
+        before = ((self.upto << _U[8]) >> shift) & np.uint64(255)
+        return (shift + _SELECT[((((self.words >> shift) & np.uint64(255)) << _U[3]) + k - before).astype(np.int64)]).astype(np.int64)
+
+
 class EliasFano:
-    """An ascending list of distinct numbers: low bytes as they are, high parts as a bit vector with sampled zeros."""
+    """An ascending list of distinct numbers: low bits packed, high parts as a bit vector with the zeros before each word."""
 
     @staticmethod
     def build(values: np.ndarray) -> bytes:
         n = len(values)
         if not n:
             return np.zeros(3, "<u8").tobytes()
-        width = (max(0, (int(values[-1]) // n).bit_length() - 1) + 7) // 8
-        high = (values >> np.uint64(8 * width)).astype(np.int64) if width < 8 else np.zeros(n, np.int64)
-        words = -(-(n + int(high[-1]) + 1) // 512) * 8
+        width = min(56, max(0, (int(values[-1]) // n).bit_length() - 1))
+        high = (values >> np.uint64(width)).astype(np.int64)
+        words = -(-(n + int(high[-1]) + 1) // 64)
         bits = np.zeros(words * 64, np.uint8)
         bits[high + np.arange(n)] = 1
         upper = np.packbits(bits, bitorder="little").view("<u8")
-        zeros = 512 - np.bitwise_count(upper).reshape(-1, 8).sum(axis=1, dtype=np.int64)
-        low = values.astype("<u8").view(np.uint8).reshape(n, 8)[:, :width].tobytes()
-        return np.array([n, width, words], "<u8").tobytes() + upper.tobytes() + (np.cumsum(zeros) - zeros).astype("<u8").tobytes() + low + bytes(8)
+        zeros = np.cumsum(64 - np.bitwise_count(upper).astype(np.int64))
+        before = np.zeros(words + words % 2, "<u4")
+        before[1:words] = zeros[:-1]
+        low = []
+        for k in range(0, n if width else 0, 1 << 16):
+            part = values[k : k + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
+            low.append(np.packbits(np.unpackbits(part, axis=1, bitorder="little")[:, :width].ravel(), bitorder="little").tobytes())
+        return b"".join([np.array([n, width, words], "<u8").tobytes(), upper.tobytes(), before.tobytes(), *low, bytes(16)])
 
     def __init__(self, data: np.ndarray):
         self.n, self.width, words = (int(x) for x in data[:24].view("<u8"))
         if self.n:
-            self.upper = data[24 : 24 + 8 * words].view("<u8").reshape(-1, 8)
+            self.upper = data[24 : 24 + 8 * words].view("<u8")
             at = 24 + 8 * words
-            self.zeros = data[at : at + words].view("<u8").astype(np.int64)
-            at += words
-            self.low = np.ndarray((self.n,), "<u8", data, at, (max(self.width, 1),)) if self.width else None
-            self.mask = np.uint64((1 << (8 * self.width)) - 1)
+            self.zeros = data[at : at + 4 * words].view("<u4")
+            at += 4 * (words + words % 2)
+            self.low = np.ndarray((len(data) - at - 7,), "<u8", data, at, (1,))
+            self.mask = np.uint64((1 << self.width) - 1)
             self.buckets = words * 64 - self.n
 
-    def _zero(self, k: np.ndarray) -> np.ndarray:
-        """The place of the k-th zero of the upper bits."""
-        block = np.searchsorted(self.zeros, k, "right") - 1
-        k = k - self.zeros[block]
-        words = self.upper[block]
-        upto = np.cumsum(64 - np.bitwise_count(words).astype(np.int64), axis=1)
-        which = (upto <= k[:, None]).sum(axis=1)
-        row = np.arange(len(k))
-        k = k - np.where(which > 0, upto[row, which - 1], 0)
-        left, place = ~words[row, which], np.zeros(len(k), np.int64)
-        for s in (32, 16, 8, 4, 2, 1):
-            part = left & np.uint64((1 << s) - 1)
-            c = np.bitwise_count(part).astype(np.int64)
-            up = k >= c
-            k = np.where(up, k - c, k)
-            left = np.where(up, left >> np.uint64(s), part)
-            place += s * up
-        return (block * 8 + which) * 64 + place
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        bit = i * self.width
+        return (self.low[bit >> 3] >> (bit & 7).astype(np.uint64)) & self.mask
+
+    def _bucket(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The elements whose high part is h: they stand between the zero before the h-th and that."""
+        k = h.astype(np.uint32)
+        word = np.searchsorted(self.zeros, k, "right") - 1
+        k = (k - self.zeros[word]).astype(np.uint64)
+        open_ = _Ones(~self.upper[word])
+        base = word * 64 - h
+        end, begin = base + open_.place(k), np.zeros(len(h), np.int64)
+        here = k > 0
+        begin[here] = (base + open_.place(np.maximum(k, _U[1]) - _U[1]))[here] + 1
+        back = np.flatnonzero(~here & (h > 0))
+        if len(back):
+            k = (h[back] - 1).astype(np.uint32)
+            word = np.searchsorted(self.zeros, k, "right") - 1
+            begin[back] = word * 64 + _Ones(~self.upper[word]).place((k - self.zeros[word]).astype(np.uint64)) - h[back] + 1
+        return begin, end
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """The index of each number, or -1: the first element not below it in its bucket is its successor."""
         out = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return out
-        high = (x >> np.uint64(8 * self.width)) if self.width < 8 else np.zeros(len(x), np.uint64)
+        high = x >> np.uint64(self.width)
         on = np.flatnonzero(high < np.uint64(self.buckets))
-        h = high[on].astype(np.int64)
-        end = self._zero(h) - h
-        begin = np.where(h > 0, self._zero(np.maximum(h - 1, 0)) - h + 1, 0)
-        keep = begin < end
-        on, lo, end = on[keep], begin[keep], end[keep]
+        lo, end = self._bucket(high[on].astype(np.int64))
+        keep = lo < end
+        on, lo, end = on[keep], lo[keep], end[keep]
         if not self.width:
             out[on] = lo
             return out
-        t, hi, live = x[on] & self.mask, end.copy(), np.arange(len(on))
+        t, hi, live = x[on] & self.mask, end.copy(), np.flatnonzero(end - lo > 1)
         while len(live):
             mid = (lo[live] + hi[live]) >> 1
-            less = (self.low[mid] & self.mask) < t[live]
+            less = self._lows(mid) < t[live]
             lo[live], hi[live] = np.where(less, mid + 1, lo[live]), np.where(less, hi[live], mid)
             live = live[lo[live] < hi[live]]
         inside = np.flatnonzero(lo < end)
-        same = inside[(self.low[lo[inside]] & self.mask) == t[inside]]
+        same = inside[self._lows(lo[inside]) == t[inside]]
         out[on[same]] = lo[same]
         return out
 
 
-_OPEN: dict[str, object] = {}
+#: Files that a worker holds open, and bytes of those that aren't mapped.
+MOST_OPEN, MOST_HELD = 20_000, 256 << 20
 
 
-def _array(uri: str, kind: str) -> np.ndarray:
-    if uri not in _OPEN:
-        if len(_OPEN) > 100_000:
-            _OPEN.clear()
-        _OPEN[uri] = map_file(uri).view(kind)
-    return _OPEN[uri]
+class Shelf:
+    """The files of one model that a worker used last."""
 
+    def __init__(self) -> None:
+        self.held: OrderedDict[str, tuple[object, int]] = OrderedDict()
+        self.bytes = 0
 
-def _list(uri: str) -> EliasFano:
-    if uri not in _OPEN:
-        if len(_OPEN) > 100_000:
-            _OPEN.clear()
-        _OPEN[uri] = EliasFano(map_file(uri))
-    return _OPEN[uri]
+    def get(self, uri: str, make: Callable[[np.ndarray], object]) -> object:
+        if uri not in self.held:
+            raw, mapped = map_file(uri)
+            size = 0 if mapped else len(raw)
+            while self.held and (len(self.held) >= MOST_OPEN or self.bytes + size > MOST_HELD):
+                self.bytes -= self.held.popitem(last=False)[1][1]
+            self.held[uri] = make(raw), size
+            self.bytes += size
+        self.held.move_to_end(uri)
+        return self.held[uri][0]
 
 
-def _write(folder: str, name: str, raw: bytes) -> str:
-    uri = f"{folder}/{name}-{uuid.uuid4().hex}"
-    write_file(uri, [raw])
-    return uri
+class Files:
+    """The files of a model by kind and shard; ``name`` tells models apart."""
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def uri(self, kind: str, shard: int) -> str:
+        return f"{self.folder}/{kind}-{shard:06d}"
+
+    def write(self, kind: str, shard: int, raw: bytes) -> None:
+        """Put a file in place whole; a repeated attempt makes the same bytes."""
+        write_file(self.uri(kind, shard), [raw])
+
+    def array(self, kind: str, shard: int, dtype: str) -> np.ndarray:
+        return shelf(self.folder).get(self.uri(kind, shard), lambda raw: raw.view(dtype))
+
+    def list(self, kind: str, shard: int) -> EliasFano:
+        return shelf(self.folder).get(self.uri(kind, shard), EliasFano)
 
 
 class Vocabulary:
-    """Numbers and training counts of words, by their hashes; shards are ranges of hashes."""
+    """Numbers and training counts of words, by their hashes; shards are ranges of hashes. ``sizes``: words of each shard."""
 
-    def __init__(self, bits: int, uris: list[tuple[str, str] | None], sizes: list[int]):
-        self.bits, self.uris = bits, uris
+    def __init__(self, files: Files, bits: int, sizes: np.ndarray):
+        self.files, self.bits, self.sizes = files, bits, sizes
         self.base = np.concatenate([[0], np.cumsum(sizes)])
-        self.gammas: list[str | None] = [None] * len(uris)
+        self.masses = np.zeros(len(sizes), bool)  # the shards whose back-off masses are known
         self.n = int(self.base[-1])
         if self.n >= 1 << 32:
-            raise ValueError("word numbers have 32 bits; raise the least count of words")
+            raise ValueError("a model holds at most 2**32 distinct words")
         self.word_bits = max(1, self.n.bit_length())
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,15 +211,15 @@ class Vocabulary:
         number, count, gamma = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.ones(len(hashes))
         shard = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
         for s in np.unique(shard).tolist():
-            if self.uris[s] is None:
+            if not self.sizes[s]:
                 continue
             a, b = np.searchsorted(shard, [s, s + 1])
-            got = _list(self.uris[s][0]).find(hashes[a:b])
+            got = self.files.list("words", s).find(hashes[a:b])
             hit = np.flatnonzero(got >= 0)
             number[a + hit] = got[hit] + self.base[s]
-            count[a + hit] = _array(self.uris[s][1], "<i8")[got[hit]]
-            if self.gammas[s]:
-                gamma[a + hit] = POWER[_array(self.gammas[s], "<u2")[got[hit]]]
+            count[a + hit] = self.files.array("counts", s, "<i8")[got[hit]]
+            if self.masses[s]:
+                gamma[a + hit] = POWER[self.files.array("masses", s, "<u2")[got[hit]]]
         return number, count, gamma
 
 
@@ -209,9 +265,13 @@ def _counted(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sorted_[new], np.diff(np.concatenate([new, [len(sorted_)]]))
 
 
+def _by_number(shard: np.ndarray) -> np.ndarray:
+    return np.argsort(shard.astype(np.uint16 if len(shard) and shard.max() < 1 << 16 else np.uint32), kind="stable")
+
+
 def _deal(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each shard; keys ascend in each."""
-    order = np.argsort(shard.astype(np.uint16), kind="stable")
+    order = _by_number(shard)
     keys, counts, shard = keys[order], counts[order], shard[order]
     borders = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
     rows: dict[str, list] = {"shard": [], "blob": []}
@@ -239,12 +299,11 @@ def _merge(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Trie:
-    """Bigrams and trigrams over a vocabulary. Uris by shard: contexts, bigrams, their masses and probabilities; trigrams, probabilities."""
+    """Bigrams and trigrams over a vocabulary, in shards by the bigram; ``two`` and ``three`` say which shards have any."""
 
-    def __init__(self, vocabulary: Vocabulary, bits: int, least: int = LEAST_COUNT):
-        self.vocabulary, self.bits, self.least = vocabulary, bits, least
-        self.two: list[tuple | None] = [None] * (1 << bits)
-        self.three: list[tuple | None] = [None] * (1 << bits)
+    def __init__(self, vocabulary: Vocabulary, bits: int):
+        self.vocabulary, self.bits, self.files = vocabulary, bits, vocabulary.files
+        self.two, self.three = np.zeros(1 << bits, bool), np.zeros(1 << bits, bool)
 
     def shard(self, key: np.ndarray) -> np.ndarray:
         return (mix64(key) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -253,116 +312,138 @@ class Trie:
         return (context.astype(np.uint64) << np.uint64(self.vocabulary.word_bits)) | word.astype(np.uint64)
 
     def bigrams(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Shard, node (-1: not there), probability part and back-off mass of bigrams (number << 32 | number)."""
+        """Shard, node (-1: not there), probability part and back-off mass of ascending bigrams (number << 32 | number)."""
         shard, node = self.shard(keys), np.full(len(keys), -1, np.int64)
         p, g = np.zeros(len(keys)), np.ones(len(keys))
         for s, at in self._by_shard(shard):
-            if self.two[s] is None:
+            if not self.two[s]:
                 continue
-            contexts, pairs, mass, probability = self.two[s]
-            k = _list(contexts).find(keys[at] >> np.uint64(32))
+            context, back = np.unique(keys[at] >> np.uint64(32), return_inverse=True)
+            k = self.files.list("contexts", s).find(context)[back]
             at, k = at[k >= 0], k[k >= 0]
-            got = _list(pairs).find(self._pointed(k, keys[at] & np.uint64(0xFFFFFFFF)))
+            got = self.files.list("pairs", s).find(self._pointed(k, keys[at] & np.uint64(0xFFFFFFFF)))
             at, got = at[got >= 0], got[got >= 0]
-            node[at], p[at] = got, POWER[_array(probability, "<u2")[got]]
-            if mass:
-                g[at] = POWER[_array(mass, "<u2")[got]]
+            node[at], p[at] = got, POWER[self.files.array("pair-probabilities", s, "<u2")[got]]
+            if self.three[s]:
+                g[at] = POWER[self.files.array("pair-masses", s, "<u2")[got]]
         return shard, node, p, g
 
     def trigrams(self, shard: np.ndarray, node: np.ndarray, word: np.ndarray) -> np.ndarray:
         p = np.zeros(len(node))
         for s, at in self._by_shard(shard):
-            if self.three[s] is None:
+            if not self.three[s]:
                 continue
-            got = _list(self.three[s][0]).find(self._pointed(node[at], word[at]))
-            at, got = at[got >= 0], got[got >= 0]
-            p[at] = POWER[_array(self.three[s][1], "<u2")[got]]
+            key, back = np.unique(self._pointed(node[at], word[at]), return_inverse=True)
+            got = self.files.list("triples", s).find(key)
+            hit = got >= 0
+            found = np.zeros(len(key))
+            found[hit] = POWER[self.files.array("triple-probabilities", s, "<u2")[got[hit]]]
+            p[at] = found[back]
         return p
 
     def _by_shard(self, shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(shard.astype(np.uint16), kind="stable")
-        borders = np.searchsorted(shard[order], np.arange((1 << self.bits) + 1))
-        for s in range(1 << self.bits):
-            if borders[s] < borders[s + 1]:
-                yield s, order[borders[s] : borders[s + 1]]
+        order = _by_number(shard)
+        ordered = shard[order]
+        borders = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1], [True]])) if len(order) else []
+        for a, b in zip(borders[:-1], borders[1:], strict=True):
+            yield int(ordered[a]), order[a:b]
 
 
-def _pairs(stream: Stream, number: np.ndarray, count: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of second words of bigrams that may be in the trie, and the bigrams."""
-    often = count >= least
-    at = np.flatnonzero(~stream.begins[1:] & often[1:] & often[:-1]) + 1
+def _pairs(stream: Stream, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of second words of bigrams of known words, and the bigrams."""
+    known = number >= 0
+    at = np.flatnonzero(~stream.begins[1:] & known[1:] & known[:-1]) + 1
     return at, (number[at - 1].astype(np.uint64) << np.uint64(32)) | number[at].astype(np.uint64)
 
 
-def _words(name: str, vocabulary: Vocabulary) -> WordTable:
-    return only(name, lambda: WordTable(vocabulary))
+class Desk:
+    """What a worker keeps of a model between tasks; another model's desk takes its place."""
+
+    def __init__(self) -> None:
+        self.shelf, self.tables = Shelf(), {}
+
+
+def shelf(folder: str) -> Shelf:
+    return only(folder, Desk).shelf
+
+
+def _words(vocabulary: Vocabulary, stage: str) -> WordTable:
+    """The worker's table of words; masses are known in scoring alone, so a stage has a table of its own."""
+    tables = only(vocabulary.files.folder, Desk).tables
+    if stage not in tables:
+        tables.clear()
+        tables[stage] = WordTable(vocabulary)
+    return tables[stage]
 
 
 SHARDED = "shard long, blob binary"
 
 
-def train(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[Trie, int, str]:
-    """The model of all rows of ``docs``, its number of tokens, and a name for it; n-grams below ``least`` aren't in it."""
+def train(docs: DataFrame) -> tuple[Trie, int]:
+    """The model of all rows of ``docs``, and its number of tokens.
+
+    Three passes over the texts count words, pairs and triples; each block of a task sends every n-gram once with its count.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    folder, rows = shared_folder(spark, "lm"), doc_texts(docs)
+    files, rows = Files(shared_folder(spark, "lm")), doc_texts(docs)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(16, max(4, int(size // (16 << 20)).bit_length()))
+    bits = min(MOST_BITS, max(4, int(size // SHARD_BYTES).bit_length()))
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, most=BLOCK):
             key, n = _counted(np.sort(Stream(t["text"]).hashes))
-            yield from _deal(key, n, key >> np.uint64(64 - bits))
+            yield from _deal(key, n, (key >> np.uint64(64 - bits)).astype(np.int64))
 
     def build_words(t: pa.Table) -> pa.Table:
+        s = t["shard"][0].as_py()
         key, n = _merge(t)
-        return pa.table({"shard": [t["shard"][0].as_py()], "uris": [[_write(folder, "words", EliasFano.build(key)), _write(folder, "counts", n.astype("<i8").tobytes())]], "n": [len(key)], "tokens": [int(n.sum())]})
+        files.write("words", s, EliasFano.build(key))
+        files.write("counts", s, n.astype("<i8").tobytes())
+        return pa.table({"shard": [s], "n": [len(key)], "tokens": [int(n.sum())]})
 
-    built = rows.mapInArrow(send_words, SHARDED).groupBy("shard").applyInArrow(tidy(build_words), "shard long, uris array<string>, n long, tokens long").collect()  # a row for each shard
-    uris: list = [None] * (1 << bits)
-    sizes = [0] * (1 << bits)
-    for r in built:
-        uris[r.shard], sizes[r.shard] = tuple(r.uris), r.n
-    vocabulary = Vocabulary(bits, uris, sizes)
-    trie, tokens = Trie(vocabulary, bits, least), sum(r.tokens for r in built)
+    built = rows.mapInArrow(send_words, SHARDED).groupBy("shard").applyInArrow(tidy(build_words), "shard long, n long, tokens long").collect()  # three numbers a shard
+    sizes = np.zeros(1 << bits, np.int64)
+    sizes[[r.shard for r in built]] = [r.n for r in built]
+    vocabulary = Vocabulary(files, bits, sizes)
+    trie, tokens = Trie(vocabulary, bits), sum(r.tokens for r in built)
 
     def send_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _words(folder, vocabulary)
+        look = _words(vocabulary, "train")
         for t in blocks(batches, most=BLOCK):
             stream = Stream(t["text"])
-            number, count, _ = look(stream.hashes)
-            key, n = _counted(np.sort(_pairs(stream, number, count, least)[1]))
+            key, n = _counted(np.sort(_pairs(stream, look(stream.hashes)[0])[1]))
             yield from _deal(key, n, trie.shard(key))
 
-    base, counts_at = vocabulary.base, [u and u[1] for u in uris]
+    base = vocabulary.base
 
     def build_pairs(t: pa.Table) -> pa.Table:
+        s = t["shard"][0].as_py()
         key, n = _merge(t)
-        key, n = key[n >= least], n[n >= least]
         first = (key >> np.uint64(32)).astype(np.int64)
         context, k = np.unique(first, return_inverse=True)
         total = np.zeros(len(context), np.int64)
         home = np.searchsorted(base, context, "right") - 1
-        for s in np.unique(home).tolist():
-            total[home == s] = _array(counts_at[s], "<i8")[context[home == s] - base[s]]
+        borders = np.flatnonzero(np.concatenate([[True], home[1:] != home[:-1], [True]]))
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+            total[a:b] = files.array("counts", int(home[a]), "<i8")[context[a:b] - base[home[a]]]
         p = (n - DISCOUNT) / total[k]
         sums = np.bincount(k, p, len(context))
-        made = [_write(folder, "contexts", EliasFano.build(context.astype(np.uint64))), _write(folder, "pairs", EliasFano.build((k.astype(np.uint64) << np.uint64(vocabulary.word_bits)) | (key & np.uint64(0xFFFFFFFF)))), _write(folder, "pair-probabilities", quantise(p).tobytes()), _write(folder, "pair-counts", n.astype("<i8").tobytes())]
-        out: dict[str, list] = {"shard": [t["shard"][0].as_py()], "uris": [made], "home": [-1], "blob": [b""]}
-        for s in np.unique(home).tolist():
-            on = home == s
+        files.write("contexts", s, EliasFano.build(context.astype(np.uint64)))
+        files.write("pairs", s, EliasFano.build((k.astype(np.uint64) << np.uint64(vocabulary.word_bits)) | (key & np.uint64(0xFFFFFFFF))))
+        files.write("pair-probabilities", s, quantise(p).tobytes())
+        files.write("pair-counts", s, n.astype("<i8").tobytes())
+        out: dict[str, list] = {"shard": [s], "home": [-1], "blob": [b""]}
+        for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             out["shard"].append(-1)
-            out["uris"].append([])
-            out["home"].append(s)
-            out["blob"].append((context[on] - base[s]).astype("<i8").tobytes() + sums[on].astype("<f8").tobytes())
-        return pa.table({"shard": pa.array(out["shard"], pa.int64()), "uris": pa.array(out["uris"], pa.list_(pa.string())), "home": pa.array(out["home"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
-
-    rows.mapInArrow(send_pairs, SHARDED).groupBy("shard").applyInArrow(tidy(build_pairs), "shard long, uris array<string>, home long, blob binary").write.parquet(f"{folder}-pairs")
-    pairs = spark.read.parquet(f"{folder}-pairs")
-    pair_counts = {}
-    for r in pairs.filter("shard >= 0").select("shard", "uris").collect():  # a row for each shard
-        trie.two[r.shard] = (r.uris[0], r.uris[1], None, r.uris[2])
-        pair_counts[r.shard] = r.uris[3]
+            out["home"].append(int(home[a]))
+            out["blob"].append((context[a:b] - base[home[a]]).astype("<i8").tobytes() + sums[a:b].astype("<f8").tobytes())
+        return pa.table({"shard": pa.array(out["shard"], pa.int64()), "home": pa.array(out["home"], pa.int64()), "blob": pa.array(out["blob"], pa.binary())})
+
+    folder = f"{files.folder}-pairs"
+    rows.mapInArrow(send_pairs, SHARDED).groupBy("shard").applyInArrow(tidy(build_pairs), "shard long, home long, blob binary").write.parquet(folder)
+    pairs = spark.read.schema("shard long, home long, blob binary").parquet(folder)
+    trie.two[[r.shard for r in pairs.filter("shard >= 0").select("shard").collect()]] = True  # a number a shard
 
     def build_masses(t: pa.Table) -> pa.Table:
         s = t["home"][0].as_py()
@@ -370,22 +451,21 @@ def train(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[Trie, int, str]:
         for blob in t["blob"].to_pylist():
             m = len(blob) // 16
             used[np.frombuffer(blob, "<i8", m)] += np.frombuffer(blob, "<f8", m, 8 * m)
-        return pa.table({"home": [s], "uri": [_write(folder, "masses", quantise(1 - np.minimum(used, 1 - 1e-9)).tobytes())]})
+        files.write("masses", s, quantise(1 - np.minimum(used, 1 - 1e-9)).tobytes())
+        return pa.table({"home": [s]})
 
-    for r in pairs.filter("home >= 0").select("home", "blob").groupBy("home").applyInArrow(tidy(build_masses), "home long, uri string").collect():
-        vocabulary.gammas[r.home] = r.uri
+    homes = [r.home for r in pairs.filter("home >= 0").select("home", "blob").groupBy("home").applyInArrow(tidy(build_masses), "home long").collect()]
+    drop_folder(folder)
 
     def send_triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _words(folder, vocabulary)
+        look = _words(vocabulary, "train")
         for t in blocks(batches, most=BLOCK):
             stream = Stream(t["text"])
-            number, count, _ = look(stream.hashes)
-            at, key = _pairs(stream, number, count, least)
+            number = look(stream.hashes)[0]
+            at, key = _pairs(stream, number)
             distinct, back = np.unique(key, return_inverse=True)
             shard, node, _, _ = trie.bigrams(distinct)
-            there = node[back] >= 0
-            at, back = at[there], back[there]
-            follows = np.flatnonzero(at[1:] == at[:-1] + 1) + 1  # both bigrams of the trigram are in the trie
+            follows = np.flatnonzero(at[1:] == at[:-1] + 1) + 1
             s, context, word = shard[back[follows - 1]], node[back[follows - 1]], number[at[follows]]
             key = (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
             order = np.lexsort((key, s))
@@ -396,29 +476,29 @@ def train(docs: DataFrame, least: int = LEAST_COUNT) -> tuple[Trie, int, str]:
     def build_triples(t: pa.Table) -> pa.Table:
         s = t["shard"][0].as_py()
         key, n = _merge(t)
-        key, n = key[n >= least], n[n >= least]
         context = (key >> np.uint64(32)).astype(np.int64)
-        total = _array(pair_counts[s], "<i8")
+        total = files.array("pair-counts", s, "<i8")
         p = (n - DISCOUNT) / total[context]
         used = np.bincount(context, p, len(total))
-        made = [_write(folder, "triples", EliasFano.build((context.astype(np.uint64) << np.uint64(vocabulary.word_bits)) | (key & np.uint64(0xFFFFFFFF)))), _write(folder, "triple-probabilities", quantise(p).tobytes()), _write(folder, "pair-masses", quantise(1 - np.minimum(used, 1 - 1e-9)).tobytes())]
-        return pa.table({"shard": [s], "uris": [made]})
+        files.write("triples", s, EliasFano.build((context.astype(np.uint64) << np.uint64(vocabulary.word_bits)) | (key & np.uint64(0xFFFFFFFF))))
+        files.write("triple-probabilities", s, quantise(p).tobytes())
+        files.write("pair-masses", s, quantise(1 - np.minimum(used, 1 - 1e-9)).tobytes())
+        return pa.table({"shard": [s]})
 
-    for r in rows.mapInArrow(send_triples, SHARDED).groupBy("shard").applyInArrow(tidy(build_triples), "shard long, uris array<string>").collect():
-        trie.three[r.shard] = (r.uris[0], r.uris[1])
-        two = trie.two[r.shard]
-        trie.two[r.shard] = (two[0], two[1], r.uris[2], two[3])
-    return trie, tokens, folder
+    there = [r.shard for r in rows.mapInArrow(send_triples, SHARDED).groupBy("shard").applyInArrow(tidy(build_triples), "shard long").collect()]
+    trie.three[there] = True
+    vocabulary.masses[homes] = True
+    return trie, tokens
 
 
-def score(docs: DataFrame, trie: Trie, tokens: int, name: str) -> DataFrame:
+def score(docs: DataFrame, trie: Trie, tokens: int) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of each row; no shuffle."""
     ship_package(docs.sparkSession)
     vocabulary = trie.vocabulary
     below = tokens + 0.1 * (vocabulary.n + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look = _words(name + "-score", vocabulary)
+        look = _words(vocabulary, "score")
         for t in blocks(batches, most=BLOCK):
             stream = Stream(t["text"])
             number, count, gamma = look(stream.hashes)
@@ -426,7 +506,7 @@ def score(docs: DataFrame, trie: Trie, tokens: int, name: str) -> DataFrame:
             p = p1.copy()
             inner = np.flatnonzero(~stream.begins)
             p[inner] *= gamma[inner - 1]
-            at, key = _pairs(stream, number, count, trie.least)
+            at, key = _pairs(stream, number)
             distinct, back = np.unique(key, return_inverse=True)
             shard, node, p2, g2 = trie.bigrams(distinct)
             there = node[back] >= 0
@@ -437,8 +517,10 @@ def score(docs: DataFrame, trie: Trie, tokens: int, name: str) -> DataFrame:
             ok = ahead < len(p)
             ok[ok] &= ~stream.begins[ahead[ok]]
             ahead, back = ahead[ok], back[ok]
-            p3 = trie.trigrams(shard[back], node[back], np.maximum(number[ahead], 0))
-            p[ahead] = p[ahead] * g2[back] + np.where(number[ahead] >= 0, p3, 0)
+            p[ahead] *= g2[back]
+            ok = number[ahead] >= 0
+            ahead, back = ahead[ok], back[ok]
+            p[ahead] += trie.trigrams(shard[back], node[back], number[ahead])
             docs_here = len(stream.first) - 1
             add = lambda x: np.bincount(stream.owner, x, docs_here)
             known = add(count > 0).astype(np.int64)
@@ -455,11 +537,13 @@ def held_out(doc_id: str = "doc_id", folds: int = FOLDS) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == 0
 
 
-def score_documents(docs: DataFrame, least: int = LEAST_COUNT) -> DataFrame:
-    """Train on the rows that aren't held out and score every row.
+def score_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score: train on the rows that aren't held out, score every row.
 
-    Null and empty texts are the end alone. Without training rows every token has the probability of an unknown word.
-    Repeated rows count each time.
+    Null and empty texts are the end alone. Without training rows every token has the probability of an unknown word, and an empty
+    table gives an empty result. Repeated rows count each time and have equal scores; nothing is ordered, so ties don't arise. A
+    very long text is counted and scored whole, in a block of its own. Columns besides doc_id and text are ignored whatever their
+    names.
     """
-    trie, tokens, name = train(doc_texts(docs).filter(~held_out()), least)
-    return score(docs, trie, tokens, name).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    trie, tokens = train(doc_texts(docs).filter(~held_out()))
+    return score(docs, trie, tokens).select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagegrain.llm.common import blocks, doc_texts, map_file, write_file
+from pagegrain.llm.common import FileBytes, blocks, doc_texts, write_file
 from pagegrain.llm.tokens import crc_ids, encoder
 from pagegrain.runtime import shared_folder, ship_package
 
@@ -83,7 +83,7 @@ class StoreWriter:
 class StoreReader:
     """Random access to one file."""
 
-    def __init__(self, data: bytes | np.ndarray):
+    def __init__(self, data: bytes | np.ndarray | FileBytes):
         self.data = np.frombuffer(data, np.uint8) if isinstance(data, bytes) else data
         n, flags, end = struct.unpack("<IBI", self.data[-9:].tobytes())
         if end != SEEK_END or not flags & 0x80:
@@ -189,7 +189,7 @@ def read_store(spark: SparkSession, files: list[tuple]) -> DataFrame:
         for b in batches:
             for uri, base in zip(b["uri"].to_pylist(), b["base"].to_pylist(), strict=True):
                 cols: dict[str, list] = {"doc_id": [], "start": [], "n_tokens": [], "ids_crc32": []}
-                for doc, start, ids in StoreReader(map_file(uri)).documents():
+                for doc, start, ids in StoreReader(FileBytes(uri)).documents():
                     for name, value in zip(cols, (doc, base + start, len(ids), crc_ids(ids)), strict=True):
                         cols[name].append(value)
                 yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in cols.items()})

@@ -41,39 +41,7 @@ def fold(i, n):
     return zlib.crc32(("" if i is None else str(i)).encode()) % n
 
 
-def test_language_model(spark, messy, messy_rows, empty):
-    rows = [(i, [*words(t), None]) for i, t in messy_rows]
-    train = [w for i, w in rows if fold(i, 10)]
-    c = collections.Counter(x for w in train for x in w)
-    n, v, d = sum(c.values()), len(c), lm_trie.DISCOUNT
-    two = collections.Counter(x for w in train for x in zip(w, w[1:]))
-    three = collections.Counter(x for w in train for x in zip(w, w[1:], w[2:]))
-    g1, g2 = collections.Counter(), collections.Counter()
-    for (a, _), k in two.items():
-        g1[a] += (k - d) / c[a] if k > 1 else 0
-    for (a, b, _), k in three.items():
-        g2[a, b] += (k - d) / two[a, b] if k > 1 else 0
-    want = []
-    for i, w in rows:
-        base = score = 0.0
-        for k, x in enumerate(w):
-            p = (c[x] + 0.1) / (n + 0.1 * (v + 1))
-            base += math.log10(p)
-            if k:
-                p = (1 - g1[w[k - 1]]) * p + (max(0, two[w[k - 1], x] - d) / c[w[k - 1]] if two[w[k - 1], x] > 1 else 0)
-            if k > 1:
-                a, b = w[k - 2], w[k - 1]
-                p = (1 - g2[a, b]) * p + ((three[a, b, x] - d) / two[a, b] if three[a, b, x] > 1 else 0)
-            score += math.log10(p)
-        want.append((str(i), fold(i, 10) == 0, len(w), sum(c[x] > 0 for x in w), n, base, score))
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm_trie.score_documents(messy).collect())
-    assert len(got) == len(want)
-    for a, b in zip(got, sorted(want), strict=True):
-        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=2e-3 * a[2] + 1e-6)
-    assert lm_trie.score_documents(empty).count() == 0
-
-
-def test_language_model_keeps_single_ngrams(spark, messy, messy_rows, tmp_path):
+def test_language_model(spark, messy, messy_rows, empty, tmp_path):
     """The registered query against a model of every n-gram, those that occur once among them."""
     from pagegrain.llm.queries import op2_lm_trie
 
@@ -102,12 +70,14 @@ def test_language_model_keeps_single_ngrams(spark, messy, messy_rows, tmp_path):
                 a = (w[k - 2], w[k - 1])
                 p = max(0, three[*a, x] - d) / two[a] + (1 - (uses2[a] - d * types2[a]) / two[a]) * p
             score += math.log10(p)
-        want.append((str(i), len(w), score))
+        base = sum(math.log10((one[x] + 0.1) / (n + 0.1 * (len(one) + 1))) for x in w)
+        want.append((str(i), fold(i, 10) == 0, len(w), sum(one[x] > 0 for x in w), n, base, score))
     messy.write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted((str(r.doc_id), r.n_tokens, r.score) for r in op2_lm_trie(spark, str(tmp_path)).collect())
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in op2_lm_trie(spark, str(tmp_path)).collect())
     assert len(got) == len(want)
     for a, b in zip(got, sorted(want), strict=True):
-        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-3 * a[1] + 1e-6)
+        assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6) and a[6] == pytest.approx(b[6], abs=2e-3 * a[2] + 1e-6)
+    assert lm_trie.score_documents(empty).count() == 0
 
 
 # --- 3 ----------------------------------------------------------------------------------------------------------------
