@@ -4,6 +4,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
@@ -54,17 +55,19 @@ def test_lattice_points():
     assert len(lattice.NEIGHBOURS) == 240 and np.allclose((lattice.NEIGHBOURS**2).sum(axis=1), 2)
 
 
-def test_recall_against_brute_force():
+@pytest.mark.parametrize("options", [o for _, o in lattice.SETTINGS])
+def test_recall_against_brute_force(options):
+    """Pairs at the threshold itself, where the recall is least."""
     rng = np.random.default_rng(8)
-    x = rng.standard_normal((800, 64))
+    x = rng.standard_normal((1500, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    y = rng.standard_normal((800, 64))
+    y = rng.standard_normal((1500, 64))
     y -= (y * x).sum(axis=1)[:, None] * x
     y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1)[:, None]
-    t = lattice.E8Tables(64)
-    (ox, px), (oy, py) = t.cells(x, np.zeros(800, np.int64)), t.cells(y, np.zeros(800, np.int64))
+    t = lattice.E8Tables(64, *options)
+    (ox, px), (oy, py) = t.cells(x, np.zeros(1500, np.int64)), t.cells(y, np.zeros(1500, np.int64))
     met = (ox == oy) | (px == oy[:, :, None]).any(axis=2) | (py == ox[:, :, None]).any(axis=2)
-    assert met.any(axis=1).mean() > 0.99
+    assert met.any(axis=1).mean() > 0.98
 
 
 @pytest.mark.parametrize("cell_rows", [40, 2048])
@@ -79,6 +82,27 @@ def test_near_vectors(spark, cell_rows):
     assert np.mean([got[i].component_id == c for i, c in label.items()]) > 0.97
 
 
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_cells_as_lists_and_as_matrices(spark, monkeypatch, small):
+    monkeypatch.setattr(lattice, "SMALL", small)
+    rows = vectors(3, 300)
+    links, label = brute_links(rows)
+    cells = lattice.E8Tables(16, 2, 8, 6, 2.0)  # so large that nothing is missed
+    raw = [(np.array(v) / np.linalg.norm(v)) for _, v, _ in rows]
+    own, near = cells.cells(np.array(raw), np.array([r[2] for r in rows]))
+    t = pa.table({
+        "cell": np.concatenate([own[:, :, None], near], axis=2).reshape(len(rows), -1).ravel().view(np.int64),
+        "rep": np.repeat([1000 + i for i in range(len(rows))], 8 * 13),
+        "own": np.tile(np.arange(8 * 13) % 13 == 0, len(rows)),
+        "side": np.full(len(rows) * 8 * 13, -1),
+        "n": np.ones(len(rows) * 8 * 13, np.int64),
+        "label": np.repeat([r[2] for r in rows], 8 * 13),
+        "vector": pa.array([v.tobytes() for v in raw for _ in range(8 * 13)], pa.binary()),
+    })
+    got = lattice._compare(t, 0.93, (2, 8, 6, 2.0)).to_pylist()
+    assert {r["rep"]: r["links"] for r in got if r["rep"] is not None} == {1000 + i: len(js) for i, js in enumerate(links) if js}
+
+
 def test_awkward_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 2.0], 1), (2, [2.0, 4.0], 1), (3, [1.0, 2.0], 1), (4, [1.0, 2.0], 2), (5, [1.0, 2.0], None), (6, None, 1), (7, [0.0, 0.0], 1), (8, [nan, 1.0], 1), (9, [inf, 1.0], 1), (10, [None, 1.0], 1), (11, [], 1), (12, [1.0, 2.0, 0.0], 1), (13, [-1.0, -2.0], 1), (14, [1e-30, 2e-30], 1)]
