@@ -306,6 +306,29 @@ def test_set_join(spark, seed, family):
     assert got == brute_components(rows)
 
 
+def test_large_family_of_near_copies(spark):
+    """Copies that differ in a word each from their base link with it, and some only with one another."""
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(4000)}" for _ in range(120)]
+    rows = [(5000, " ".join(base))]
+    for k in range(300):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3])):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(9)}"
+        rows.append((k, " ".join(w)))
+    rows += [(6000 + k, rows[1][1]) for k in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in set_join.jaccard_components(df, family=1 << 13).collect())
+    assert got == brute_components(rows)
+
+
+def test_rows_of_one_id_keep_the_same_row(spark):
+    rows = [(1, "b c d e f"), (1, "a b c d e"), (1, None), (2, None), (2, None), (3, "x")]
+    for n in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(n)
+        assert sorted((r.doc_id, str(r.text)) for r in set_join.keep_one_of_each(df).collect()) == [(1, "b c d e f" if zlib.crc32(b"b c d e f") < zlib.crc32(b"a b c d e") else "a b c d e"), (2, "None"), (3, "x")]
+
+
 def test_set_join_on_awkward_rows(spark, messy, messy_rows, empty):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in set_join.jaccard_components(messy).collect())
     assert got == brute_components(messy_rows)
