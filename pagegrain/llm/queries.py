@@ -77,7 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
-_DECODED = r"""replace(replace(replace(replace(replace({}, '&quot;', '"'), '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&amp;', '&')"""
+#: References of old names hold without their semicolon too, as where a title was cut.
+_DECODED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '&quot;?', '"', 'g'), '&copy;?', chr(169), 'g'), '&middot;?', chr(183), 'g'), '&lt;?', '<', 'g'), '&amp;?', '&', 'g')"""
 
 _OP3 = f"""
 with d as (select row_number() over () as r, doc_id, {_ALNUM} as w from documents),

@@ -136,6 +136,28 @@ def test_main_text():
     assert host_suffix.settled_text("<article>a < b &lt; c<br/>d</article>") == "a < b < c d"
 
 
+def test_elements_around_the_article_stay():
+    for page in (
+        "<div class='site has-sidebar'><article>y</article></div>",
+        "<div class='page nav-fixed'><main>y</main></div>",
+        "<nav><ul><li>x<article>y</article></ul></nav>",
+        "<form id=f><article>y</article><input></form>",
+        "<body class=nav><div class='sidebar'><div><article>y",
+        "<aside><article>teaser</article></aside><div class=wrapper><main><p>y</main></div>",
+    ):
+        assert host_suffix.settled_text(page) == "y", page
+    assert host_suffix.settled_text("<article><p id='banner-history'>a<p class=notice>no</p><section id=share-prices>b</section></article>") == "a b"
+    assert host_suffix.settled_text("<article>a<section class=comments><article>no</article></section></article>") == "a"
+    assert host_suffix.settled_text("<script>'<article>'</script><p>a") == "a"
+
+
+def test_long_and_repeated_pages(spark):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "http://h/1", f"<nav>x</nav><article><p>{long}</article>")] * 2 + [(2, "http://h/2", f"<p>{long}</p>")] * 2 + [(3, "http://h/3", "<div>" * 3000 + "deep")]
+    got = host_suffix.main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), bucket=1000).collect()
+    assert sorted((r.page_id, r.text) for r in got) == sorted([(1, long), (1, long), (2, long), (2, long), (3, "deep")])
+
+
 def test_anchors_inside_an_article_are_text():
     page = "<article><h2 id=related-work>Related</h2><section id='search-results'>a</section><p data-id=ad data-role='menu'>b</p><div id=comments>no</div><div class='share-bar'>no</div></article>"
     assert host_suffix.settled_text(page) == "Related a b"
@@ -160,7 +182,7 @@ def test_main_text_on_spark(spark):
     rows = [(i, f"http://h{i % 2}.x/{i}", f"<div>{boiler}</div><div>own text number {i} with words w{i}</div>") for i in range(40)]
     rows += [(100, "http://h0.x/a", PAGE), (101, None, None), (102, "http://h0.x", ""), (103, "bad url", "<p>plain"), (None, None, "<main>m</main>")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string").repartition(3)
-    for bucket in (8, 512):
+    for bucket in (300, 4 << 20):
         got = {r.page_id: (r.url, r.text, r.n_chars) for r in host_suffix.main_text(df, bucket=bucket).collect()}
         assert len(got) == len(rows)
         assert all(got[i][1] == f"own text number {i} with words w{i}" and got[i][2] == len(got[i][1]) for i in range(40))
@@ -175,7 +197,7 @@ def test_boilerplate_is_counted_over_the_whole_host(spark):
     rows += [(1000 + i, f"http://two.x/{i}", f"<p>{text(1000 + i)}</p>" + (f"<p>{notice}</p>" if i < 2 else "")) for i in range(20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     want = {i: text(i) + (f" {notice}" if i in (1000, 1001) else "") for i, _, _ in rows}
-    for bucket in (8, 512):
+    for bucket in (300, 4 << 20):
         assert {r.page_id: r.text for r in host_suffix.main_text(df, bucket=bucket).collect()} == want
 
 
@@ -190,7 +212,7 @@ def test_copies_are_one_page(spark):
         rows += [(10, f"http://{host}.x/{i % 7}", f"<p>{' '.join(notice)}</p><p>copied</p>") for i in range(50)]
         rows += [(10 + i, f"http://{host}.x/{i}", f"<p>{' '.join(notice)}</p><p>page {i}</p>") for i in range(1, least)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
-    for bucket in (1, 512):
+    for bucket in (1, 4 << 20):
         got = host_suffix.main_text(df, bucket=bucket).collect()
         assert sorted((r.page_id, r.url) for r in got) == sorted(r[:2] for r in rows)
         for r in got:
