@@ -19,6 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -181,7 +182,7 @@ class Files:
         self.folder = folder
 
     def uri(self, kind: str, shard: int) -> str:
-        return f"{self.folder}/{kind}-{shard:06d}"
+        return f"{self.folder}/{kind}/{shard:06d}"
 
     def write(self, kind: str, shard: int, raw: bytes) -> None:
         """Put a file in place whole; a repeated attempt makes the same bytes."""
@@ -269,31 +270,35 @@ def _by_number(shard: np.ndarray) -> np.ndarray:
     return np.argsort(shard.astype(np.uint16 if len(shard) and shard.max() < 1 << 16 else np.uint32), kind="stable")
 
 
+def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Ascending keys (high halves as differences) and counts, byte by byte of all numbers, which compresses well."""
+    high, low = (keys >> np.uint64(32)).astype("<u4"), (keys & np.uint64(0xFFFFFFFF)).astype("<u4")
+    parts = np.concatenate([np.diff(high, prepend=np.uint32(0)).astype("<u4"), low, counts.astype("<u4")])
+    return zstandard.ZstdCompressor(level=1, write_content_size=True).compress(np.ascontiguousarray(parts.view(np.uint8).reshape(-1, 4).T).data)
+
+
+def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    parts = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().reshape(3, -1)
+    return (np.cumsum(parts[0], dtype=np.uint64) << np.uint64(32)) | parts[1], parts[2]
+
+
 def _deal(keys: np.ndarray, counts: np.ndarray, shard: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each shard; keys ascend in each."""
     order = _by_number(shard)
     keys, counts, shard = keys[order], counts[order], shard[order]
     borders = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]])) if len(shard) else []
-    rows: dict[str, list] = {"shard": [], "blob": []}
-    for a, b in zip(borders[:-1], borders[1:], strict=True):
-        # high halves go as differences, which the shuffle's compression shrinks
-        high, low = (keys[a:b] >> np.uint64(32)).astype("<u4"), (keys[a:b] & np.uint64(0xFFFFFFFF)).astype("<u4")
-        rows["shard"].append(int(shard[a]))
-        rows["blob"].append(np.diff(high, prepend=np.uint32(0)).astype("<u4").tobytes() + low.tobytes() + counts[a:b].astype("<u4").tobytes())
-    yield pa.RecordBatch.from_pydict({"shard": pa.array(rows["shard"], pa.int64()), "blob": pa.array(rows["blob"], pa.binary())})
+    blobs = [_packed(keys[a:b], counts[a:b]) for a, b in zip(borders[:-1], borders[1:], strict=True)]
+    yield pa.RecordBatch.from_pydict({"shard": pa.array(shard[borders[:-1]] if len(shard) else [], pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _merge(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All keys of a shard with their sums, ascending."""
-    keys, counts = [], []
-    for blob in t["blob"].to_pylist():
-        n = len(blob) // 12
-        high = np.cumsum(np.frombuffer(blob, "<u4", n), dtype=np.uint64)
-        keys.append((high << np.uint64(32)) | np.frombuffer(blob, "<u4", n, 4 * n))
-        counts.append(np.frombuffer(blob, "<u4", n, 8 * n))
-    key, count = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
+    keys, counts = zip(*[_unpacked(blob) for blob in t["blob"].to_pylist()], strict=True)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    del keys, counts
     order = np.argsort(key, kind="stable")
-    key, upto = key[order], np.cumsum(count[order])
+    key, upto = key[order], np.cumsum(count[order], dtype=np.int64)
     last = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]]))
     return key[last], np.diff(upto[last], prepend=0)
 
@@ -432,7 +437,7 @@ def train(docs: DataFrame) -> tuple[Trie, int]:
         files.write("contexts", s, EliasFano.build(context.astype(np.uint64)))
         files.write("pairs", s, EliasFano.build((k.astype(np.uint64) << np.uint64(vocabulary.word_bits)) | (key & np.uint64(0xFFFFFFFF))))
         files.write("pair-probabilities", s, quantise(p).tobytes())
-        files.write("pair-counts", s, n.astype("<i8").tobytes())
+        files.write("pair-counts", s, n.astype("<f8" if n.max() >= 1 << 32 else "<u4").tobytes())
         out: dict[str, list] = {"shard": [s], "home": [-1], "blob": [b""]}
         for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
             out["shard"].append(-1)
@@ -477,7 +482,9 @@ def train(docs: DataFrame) -> tuple[Trie, int]:
         s = t["shard"][0].as_py()
         key, n = _merge(t)
         context = (key >> np.uint64(32)).astype(np.int64)
-        total = files.array("pair-counts", s, "<i8")
+        total = files.array("pair-counts", s, "u1")
+        pairs = files.list("pairs", s).n
+        total = total.view("<u4" if len(total) == 4 * pairs else "<f8")
         p = (n - DISCOUNT) / total[context]
         used = np.bincount(context, p, len(total))
         files.write("triples", s, EliasFano.build((context.astype(np.uint64) << np.uint64(vocabulary.word_bits)) | (key & np.uint64(0xFFFFFFFF))))
@@ -486,6 +493,7 @@ def train(docs: DataFrame) -> tuple[Trie, int]:
         return pa.table({"shard": [s]})
 
     there = [r.shard for r in rows.mapInArrow(send_triples, SHARDED).groupBy("shard").applyInArrow(tidy(build_triples), "shard long").collect()]
+    drop_folder(f"{files.folder}/pair-counts")
     trie.three[there] = True
     vocabulary.masses[homes] = True
     return trie, tokens
