@@ -1,11 +1,18 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on a bounded sample of labelled documents. Both hold the same frequent words of ordinary
-text; the toxic one also holds the words that toxic documents use far more often, the ordinary one as many bytes of
-further ordinary words in their place. A window is one word between two halves of a carrier that stands in both
-dictionaries, so that a window never falls back to an uncompressed block and its length differs by the word alone. A
-window counts as toxic if the toxic dictionary makes it at most ``limit`` bytes and saves ``gain`` bytes or more
-against the ordinary one; both thresholds, and the score for each number of toxic windows, are calibrated on the labels.
+Two zstandard dictionaries, one of toxic and one of ordinary text, compress each window of a document; a window counts as toxic if
+the toxic dictionary saves enough bytes against the other one, and the thresholds and the score for each number of toxic windows
+are calibrated on labelled rows. There are two ways to the dictionaries.
+
+``trained``: zstandard trains each on the whole texts of its label; windows are some words in a row, those of a document
+overlapping by half. This is the plain method. On labels that hang on single words it finds less than a third of the toxic
+documents, since a trained dictionary holds what is frequent in both kinds of text alike.
+
+``chosen``, the default: both dictionaries hold the same frequent words of ordinary text; the toxic one also holds the words that
+toxic documents use far more often, the ordinary one as many bytes of further ordinary words in their place. A window is one word
+between two halves of a carrier that stands in both dictionaries, so that a window never falls back to an uncompressed block
+and its length differs by the word alone. A window counts as toxic if the toxic dictionary makes it at most ``limit`` bytes and
+saves ``gain`` bytes or more. In effect this is a list of words that compression looks up.
 """
 
 from __future__ import annotations
@@ -32,6 +39,8 @@ FOLDS, COMMON_WORDS, LEVEL = 5, 2000, 9
 LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 5, 0.01, 20.0
 CARRIER = b"@0123456789#"
 BINS = 6
+#: Trained dictionaries: their bytes, the lengths of their segments and of what these are told by, and words in a window.
+TRAINED_BYTES, SEGMENT, SEGMENT_KEY, WINDOW_WORDS = 4096, 64, 6, 2
 
 
 @dataclass(frozen=True)
@@ -41,6 +50,7 @@ class ToxicModel:
     limit: int
     gain: int
     scores: tuple[float, ...]  # by the number of toxic windows, the last for more
+    words: int = 1  # of a window; more than one are compressed without a carrier
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         p = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
@@ -57,7 +67,7 @@ def lengths(model: ToxicModel, words: list[bytes]) -> np.ndarray:
     toxic, ordinary = (c.compress for c in model.compressors())
     out = np.empty((len(words), 2), np.int64)
     for i, w in enumerate(words):
-        window = b"".join((CARRIER, b" ", w, b" ", CARRIER))
+        window = b"".join((CARRIER, b" ", w, b" ", CARRIER)) if model.words == 1 else b" " + w + b" "
         out[i] = len(toxic(window)), len(ordinary(window))
     return out
 
@@ -114,35 +124,82 @@ def fit(rows: Iterator[tuple[str | None, int]]) -> ToxicModel | None:
         return ToxicModel(model.toxic, model.ordinary, -1, 1, (float(n[1] / n.sum()),) * BINS)
     # of thresholds that are as good, within the error of their figure, those that flag the fewest words
     _, _, gain, limit, hits = min((t for t in tried if t[0] >= most - slack), key=lambda t: (t[1], t[2], t[3]))
-    scores, low = [], 0.0
+    return ToxicModel(model.toxic, model.ordinary, limit, gain, _calibrated(hits, labels))
+
+
+def fit_trained(rows: Iterator[tuple[str | None, int]], words: int = WINDOW_WORDS, size: int = TRAINED_BYTES) -> ToxicModel | None:
+    """The model of dictionaries that zstandard trains on the texts of each label; None without enough text of both."""
+    texts: dict[tuple[bytes, int], None] = {}
+    for text, label in rows:
+        texts[b" ".join(document_words(text)), label] = None
+    labels = np.array([y for _, y in texts], np.int64)
+    parts = []
+    for y in (1, 0):
+        samples = [b" " + t + b" " for t, label in texts if label == y and t]
+        try:
+            parts.append(zstandard.train_dictionary(size, samples, k=SEGMENT, d=SEGMENT_KEY, level=LEVEL).as_bytes())
+        except zstandard.ZstdError:  # too little text
+            return None
+    model = ToxicModel(parts[0], parts[1], 1 << 30, 0, (), words)
+    sizes = [lengths(model, windows(t.split(b" "), words)) for t, _ in texts]
+    saved = [x[:, 1] - x[:, 0] for x in sizes]
+    tried = []
+    for gain in range(1, 9):
+        hits = np.array([int((x >= gain).sum()) for x in saved])
+        tried.append((max(int(((hits >= k) == (labels == 1)).sum()) for k in range(1, BINS)), -gain, hits))
+    _, gain, hits = max(tried, key=lambda t: t[:2])
+    return ToxicModel(parts[0], parts[1], 1 << 30, -gain, _calibrated(hits, labels), words)
+
+
+def windows(words: list[bytes], n: int) -> list[bytes]:
+    """All runs of n words that begin half a run apart, the last one whatever is left; a shorter text is one window."""
+    if n == 1:
+        return words
+    step = max(1, n // 2)
+    return [b" ".join(words[k : k + n]) for k in range(0, max(1, len(words) - n + step), step)] if words and words != [b""] else []
+
+
+def _calibrated(hits: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
+    """The share of toxic documents by the number of toxic windows, drawn a little towards the whole; it never falls."""
+    scores, low, share = [], 0.0, float(labels.mean())
     for k in range(BINS):
         some = hits == k if k < BINS - 1 else hits >= k
-        low = max(low, float((labels[some].sum() + n[1] / n.sum()) / (some.sum() + 1)))  # never falls as windows are added
+        low = max(low, float((labels[some].sum() + share) / (some.sum() + 1)))
         scores.append(min(low, 1.0))
-    return ToxicModel(model.toxic, model.ordinary, limit, gain, tuple(scores))
+    return tuple(scores)
 
 
 def fold(doc_id: str = "doc_id", folds: int = FOLDS) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> ToxicModel | None:
-    """Learn from at most ``rows`` labelled rows outside fold 0. Rows are fetched one after another, never held at once."""
+#: The ways to the dictionaries.
+FITS = {"chosen": fit, "trained": fit_trained}
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, dictionaries: str = "chosen") -> ToxicModel | None:
+    """Learn from at most ``rows`` labelled rows outside fold 0. Rows are fetched one after another, never held at once.
+
+    A document with labels of both kinds counts as toxic.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)").filter(fold() != 0)
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     joined = doc_texts(docs).join(F.broadcast(sample), "doc_id").select("text", "toxic")
-    return fit((r.text, r.toxic) for r in joined.toLocalIterator())
+    return FITS[dictionaries]((r.text, r.toxic) for r in joined.toLocalIterator())
 
 
 def toxic_windows(model: ToxicModel, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """How many windows of each text are toxic; all windows are looked at, each distinct one once."""
+    """How many windows of each text are toxic; all windows are looked at, where they are words each distinct one once."""
 
     def work(new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         size = lengths(model, new)
         return np.ones(len(new), np.int64), (size[:, 1] - size[:, 0] >= model.gain) & (size[:, 0] <= model.limit)
 
-    t = only(model, lambda: ChunkTable(work, bool))
     words = runs(Texts(column, lower=True), LETTER_OR_DIGIT)
+    if model.words > 1:
+        first = words.first.tolist()
+        return np.array([int(work(windows([words.word(i) for i in range(a, b)], model.words))[1].sum()) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
+    t = only(model, lambda: ChunkTable(work, bool))
     rows = t.rows(words)
     each = gather(t.pool, t.at[rows], t.lens[rows]).astype(np.int64)
     return np.diff(np.concatenate([[0], np.cumsum(each)])[words.first])
@@ -155,14 +212,16 @@ def scores_of(model: ToxicModel | None, column: pa.Array | pa.ChunkedArray) -> n
     return np.array(model.scores)[np.minimum(toxic_windows(model, column), BINS - 1)]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, dictionaries: str = "chosen") -> DataFrame:
     """doc_id, held_out, score and predicted of each row.
 
-    Null and empty texts have no toxic window and the score of such texts. Without labelled rows every score is 0. Repeated rows
-    are scored each. Only texts are inputs of a score. No shuffle.
+    Null and empty texts have no toxic window and the score of such texts. Without labelled rows of both kinds every score is 0.
+    Repeated rows are scored each and alike; equal scores are ties that nothing breaks. A very long text is scored whole. Only
+    texts are inputs of a score; columns besides doc_id and text are ignored whatever their names. An empty table gives an empty
+    result. No shuffle.
     """
     ship_package(docs.sparkSession)
-    model = train(docs, labels)
+    model = train(docs, labels, dictionaries=dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, most=4 << 20):
@@ -173,12 +232,16 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, with a score below one half."""
+    """The rows of ``docs``, all columns as they are, with a score below one half.
+
+    Null and empty texts have no toxic window and stay, rows without an id are judged by their text; repeated rows go or stay
+    alike; without labelled rows of both kinds all stay.
+    """
     ship_package(docs.sparkSession)
     model = train(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in blocks(batches, most=4 << 20):
-            yield from t.filter(pa.array(scores_of(model, t["text"]) < 0.5)).to_batches()
+            yield from t.filter(pa.array(scores_of(model, t["text"].cast(pa.string())) < 0.5)).to_batches()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -242,6 +242,34 @@ def test_toxicity(spark, messy, messy_rows, empty):
     assert toxicity.drop_toxic(messy, y).columns == messy.columns
 
 
+@pytest.mark.parametrize("fit", ["chosen", "trained"])
+def test_toxicity_by_brute_force(spark, messy_rows, fit):
+    """Every window of every text compressed by itself, with dictionaries made anew."""
+    import zstandard
+
+    docs, labels = toxic_corpus(600)
+    model = toxicity.FITS[fit]((t, y) for (i, t), (_, _, y) in zip(docs, labels, strict=True) if fold(i, 5))
+    assert model.words == (1 if fit == "chosen" else toxicity.WINDOW_WORDS) and len(set(model.scores)) > 1
+
+    def size(content, window):
+        p = zstandard.ZstdCompressionParameters.from_level(toxicity.LEVEL, write_content_size=False, write_dict_id=False, write_checksum=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p).compress(window))
+
+    def brute(text):
+        w, hits = [x.encode() for x in words(text, ALNUM)], 0
+        if fit == "chosen":
+            found = [toxicity.CARRIER + b" " + x + b" " + toxicity.CARRIER for x in w]
+        else:
+            found = [b" " + x + b" " for x in toxicity.windows(w, model.words)]
+        for x in found:
+            toxic, ordinary = size(model.toxic, x), size(model.ordinary, x)
+            hits += ordinary - toxic >= model.gain and toxic <= model.limit
+        return model.scores[min(hits, toxicity.BINS - 1)]
+
+    texts = [t for _, t in docs[:40]] + [t for _, t in messy_rows if t is None or len(t) < 500]
+    assert toxicity.scores_of(model, pa.array(texts)).tolist() == [brute(t) for t in texts]
+
+
 def test_labels_of_the_held_out_fold_do_not_matter(spark):
     docs, labels = toxic_corpus(600)
     d = spark.createDataFrame(docs, "doc_id long, text string")
