@@ -224,7 +224,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, dictionaries: str = "cho
     model = train(docs, labels, dictionaries=dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=4 << 20):
+        for t in blocks(batches, most=2 << 20):
             yield pa.RecordBatch.from_arrays([t["doc_id"].combine_chunks(), pa.array(scores_of(model, t["text"]))], names=["doc_id", "score"])
 
     scored = doc_texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -241,7 +241,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=4 << 20):
+        for t in blocks(batches, most=2 << 20):
             yield from t.filter(pa.array(scores_of(model, t["text"].cast(pa.string())) < 0.5)).to_batches()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -163,7 +163,7 @@ class HashTable:
 
     def __init__(self, bits: int = 16):
         self.bits, self.n = bits, 0
-        self.slots = np.full(1 << bits, -1, np.int64)
+        self.slots = np.full(1 << bits, -1, np.int32)
         self.keys, self.heads = np.empty(1 << 12, np.uint64), np.empty(1 << 12, np.uint64)
 
     def find(self, h: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -190,7 +190,7 @@ class HashTable:
         if self.n * 2 > 1 << self.bits:
             while self.n * 2 > 1 << self.bits:
                 self.bits += 1
-            self.slots = np.full(1 << self.bits, -1, np.int64)
+            self.slots = np.full(1 << self.bits, -1, np.int32)
             self._place(np.arange(self.n))
         else:
             self._place(new)
@@ -214,7 +214,7 @@ class ChunkTable:
     words or as many bytes and values by it the table is emptied; results don't depend on that.
     """
 
-    def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 400_000):
+    def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 250_000):
         self.work, self.dtype, self.most = work, dtype, most
         self._clear()
 
@@ -222,7 +222,7 @@ class ChunkTable:
         self.table = HashTable()
         self.pool, self.used = np.empty(1 << 14, self.dtype), 0
         self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0  # of words beyond their first eight bytes
-        self.at, self.lens, self.size, self.rest = (np.empty(1 << 12, np.int64) for _ in range(4))
+        self.at, self.lens, self.size, self.rest = (np.empty(1 << 12, np.int32) for _ in range(4))
 
     def rows(self, words: Words) -> np.ndarray:
         """The row of each word."""
