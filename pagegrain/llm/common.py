@@ -144,7 +144,7 @@ class FileBytes:
 
 def blocks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 32 << 20) -> Iterator[pa.Table]:
     """Batches joined into tables of about ``most`` bytes, so that memory stays bounded for any partition."""
-    held, size = [], 0
+    held, size, count = [], 0, 0
     release()
     for b in batches:
         step = max(1, int(b.num_rows * most / max(1, b.nbytes)))
@@ -154,7 +154,9 @@ def blocks(batches: Iterable[pa.RecordBatch], text_at: int = 1, most: int = 32 <
             size += part.nbytes
             if size >= most:
                 yield pa.Table.from_batches(held)
-                held, size = [], 0
+                held, size, count = [], 0, count + 1
+                if count % 4 == 0:
+                    release()
         del b, part
     if held:
         yield pa.Table.from_batches(held)

@@ -50,8 +50,8 @@ class ChunkEncoder:
         groups = [plain[k : k + 40] for k in range(0, len(plain), 40)]
         got: list = [None] * len(text)
         glue = "" if self.joined else " "
-        for k in range(0, len(groups), 200):  # the library's results are large
-            some = groups[k : k + 200]
+        for k in range(0, len(groups), 100):  # the library's results are large
+            some = groups[k : k + 100]
             for ids, group in zip(self._each([glue.join(text[i] for i in g) for g in some]), some, strict=True):
                 at = np.flatnonzero(self.border[ids])
                 if len(at) == len(group):
@@ -59,8 +59,10 @@ class ChunkEncoder:
                     for i, a, b in zip(group, borders[:-1], borders[1:], strict=True):
                         got[i] = ids[a:b]
         rest = [i for i, ids in enumerate(got) if ids is None]
-        for i, ids in zip(rest, self._each([text[i] for i in rest]), strict=True):
-            got[i] = ids
+        for k in range(0, len(rest), 4000):
+            some = rest[k : k + 4000]
+            for i, ids in zip(some, self._each([text[i] for i in some]), strict=True):
+                got[i] = ids
         lens = np.fromiter(map(len, got), np.int64, len(got))
         return lens, np.fromiter((i for ids in got for i in ids), np.uint32, int(lens.sum()))
 
