@@ -22,7 +22,7 @@ from pagegrain.llm.common import blocks, doc_texts
 from pagegrain.llm.tokens import crc_ids, encoder
 from pagegrain.runtime import shared_folder, ship_package
 
-WINDOW, GROUP, BLOCK = 1024, 50_000, 2 << 20
+WINDOW, GROUP, BLOCK = 1024, 50_000, 1 << 20
 
 
 class CapacityTree:

@@ -28,7 +28,7 @@ class ChunkEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.joined, self.border = spaces == "joined", np.empty(0, bool)
-        self.table = ChunkTable(self._encode, np.uint32)
+        self.table = ChunkTable(self._encode, np.uint32, most=120_000)
 
     def _each(self, new: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
