@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from pagegrain.llm.common import blocks, doc_texts, only
-from pagegrain.llm.words import NOT_SPACE, ChunkTable, Texts, gather, kind_cuts, runs
+from pagegrain.llm.words import NOT_SPACE, ChunkTable, Spelled, Texts, gather, kind_cuts, runs
 from pagegrain.runtime import ship_package
 
 NO_RANK = np.int64(1 << 40)
@@ -143,9 +143,9 @@ class TokenCounter:
     def pre_tokens(self, text: str) -> list[str]:
         return self.pattern.findall(text.lower() if text.isascii() else self.tok.normalizer.normalize_str(text))
 
-    def _count(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _count(self, new: Spelled) -> tuple[np.ndarray, np.ndarray]:
         owner, parts, extra = [], [], np.zeros(len(new), np.int64)
-        for i, raw in enumerate(new):
+        for i, raw in enumerate(new.words()):
             if raw.isalpha():  # ASCII letters alone are one pre-token
                 parts.append(raw.lower())
                 owner.append(i)

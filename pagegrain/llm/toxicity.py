@@ -199,7 +199,7 @@ def toxic_windows(model: ToxicModel, column: pa.Array | pa.ChunkedArray) -> np.n
     if model.words > 1:
         first = words.first.tolist()
         return np.array([int(work(windows([words.word(i) for i in range(a, b)], model.words))[1].sum()) for a, b in zip(first[:-1], first[1:], strict=True)], np.int64)
-    t = only(model, lambda: ChunkTable(work, bool))
+    t = only(model, lambda: ChunkTable(lambda new: work(new.words()), bool))
     rows = t.rows(words)
     each = gather(t.pool, t.at[rows], t.lens[rows]).astype(np.int64)
     return np.diff(np.concatenate([[0], np.cumsum(each)])[words.first])

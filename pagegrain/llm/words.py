@@ -206,15 +206,34 @@ class HashTable:
             left, at = left[lost], (at[lost] + 1) & last
 
 
+class Spelled:
+    """Words one after another in ``data``, of ``size`` bytes each."""
+
+    def __init__(self, data: np.ndarray, size: np.ndarray):
+        self.data, self.size = data, size
+        self.ends = np.cumsum(size)
+        self.starts = self.ends - size
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def words(self) -> list[bytes]:
+        raw = self.data.tobytes()
+        return [raw[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+
+    def take(self, which: np.ndarray) -> Spelled:
+        return Spelled(gather(self.data, self.starts[which], self.size[which]), self.size[which])
+
+
 class ChunkTable:
     """Rows of values for the distinct words met so far, worked out once for each.
 
-    ``work`` takes the bytes of new words and returns for each of them how many values it has, and all values. A word found by
+    ``work`` takes new words and returns for each of them how many values it has, and all values. A word found by
     its hash is compared byte by byte; of words with equal hashes the later ones go on under further hashes. Beyond ``most``
     words or as many bytes and values by it the table is emptied; results don't depend on that.
     """
 
-    def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 400_000):
+    def __init__(self, work: Callable[[Spelled], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 400_000):
         self.work, self.dtype, self.most = work, dtype, most
         self._clear()
 
@@ -249,10 +268,12 @@ class ChunkTable:
 
     def _learn(self, words: Words, new: np.ndarray, h: np.ndarray, heads: np.ndarray) -> np.ndarray:
         """New rows for words under these keys."""
-        raw = [words.word(i) for i in new.tolist()]
-        lens, flat = self.work(raw)
+        size = words.ends[new] - words.starts[new]
+        spelled = Spelled(gather(words.texts.data, words.starts[new], size), size)
+        lens, flat = self.work(spelled)
         rows = self.table.add(h, heads)
-        more = b"".join([w[8:] for w in raw])
+        beyond = np.maximum(size - 8, 0)
+        more = gather(spelled.data, spelled.starts + 8, beyond)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while self.filled + len(more) + 8 > len(self.bytes):
@@ -260,9 +281,7 @@ class ChunkTable:
         while self.table.n > len(self.at):
             self.at, self.lens, self.size, self.rest = (np.concatenate([a, np.empty_like(a)]) for a in (self.at, self.lens, self.size, self.rest))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.bytes[self.filled : self.filled + len(more)] = np.frombuffer(more, np.uint8)
-        size = words.ends[new] - words.starts[new]
-        beyond = np.maximum(size - 8, 0)
+        self.bytes[self.filled : self.filled + len(more)] = more
         self.at[rows], self.lens[rows] = self.used + np.cumsum(lens) - lens, lens
         self.size[rows], self.rest[rows] = size, self.filled + np.cumsum(beyond) - beyond
         self.used += len(flat)
