@@ -230,7 +230,8 @@ class ChunkTable:
 
     ``work`` takes new words and returns for each of them how many values it has, and all values. A word found by
     its hash is compared byte by byte; of words with equal hashes the later ones go on under further hashes. Beyond ``most``
-    words or as many bytes and values by it the table is emptied; results don't depend on that.
+    words or as many bytes and values by it the table gives up words, those met once since the last time first; results don't
+    depend on that.
     """
 
     def __init__(self, work: Callable[[Spelled], tuple[np.ndarray, np.ndarray]], dtype: type, most: int = 400_000):
@@ -242,11 +243,25 @@ class ChunkTable:
         self.pool, self.used = np.empty(1 << 14, self.dtype), 0
         self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0  # of words beyond their first eight bytes
         self.at, self.lens, self.size, self.rest = (np.empty(1 << 12, np.int32) for _ in range(4))
+        self.met = np.zeros(1 << 12, np.int64)
+
+    def _shrink(self) -> None:
+        """Keep the words met most often, more than once, as far as a third of the bounds allows."""
+        n, table = self.table.n, self.table
+        order = np.argsort(-self.met[:n], kind="stable")
+        order = order[self.met[order] > 1]
+        fits = (np.cumsum(self.lens[order], dtype=np.int64) <= 8 * self.most // 3) & (np.cumsum(np.maximum(self.size[order] - 8, 0), dtype=np.int64) <= 16 * self.most // 3)
+        order = np.sort(order[fits][: self.most // 3])
+        h, heads, lens, size = table.keys[order], table.heads[order], self.lens[order], self.size[order]
+        flat, more = gather(self.pool, self.at[order].astype(np.int64), lens.astype(np.int64)), gather(self.bytes, self.rest[order].astype(np.int64), np.maximum(size - 8, 0).astype(np.int64))
+        self._clear()
+        if len(order):
+            self._store(h, heads, lens.astype(np.int64), flat, size.astype(np.int64), more)
 
     def rows(self, words: Words) -> np.ndarray:
         """The row of each word."""
         if self.table.n > self.most or self.used > 8 * self.most or self.filled > 16 * self.most:
-            self._clear()
+            self._shrink()
         heads, size = words.heads, words.ends - words.starts
         out, left, h = np.empty(len(words), np.int64), np.arange(len(words)), words.hashes
         while len(left):
@@ -264,6 +279,7 @@ class ChunkTable:
                 break
             out[left[same]] = got[same]
             left, h = left[~same], mix64(h[~same] + M1)
+        self.met[: self.table.n] += np.bincount(out, minlength=self.table.n)
         return out
 
     def _learn(self, words: Words, new: np.ndarray, h: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -271,15 +287,18 @@ class ChunkTable:
         size = words.ends[new] - words.starts[new]
         spelled = Spelled(gather(words.texts.data, words.starts[new], size), size)
         lens, flat = self.work(spelled)
+        return self._store(h, heads, lens, flat, size, gather(spelled.data, spelled.starts + 8, np.maximum(size - 8, 0)))
+
+    def _store(self, h: np.ndarray, heads: np.ndarray, lens: np.ndarray, flat: np.ndarray, size: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """Rows of these keys, values and words, of which ``more`` holds what is beyond the first eight bytes."""
         rows = self.table.add(h, heads)
         beyond = np.maximum(size - 8, 0)
-        more = gather(spelled.data, spelled.starts + 8, beyond)
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while self.filled + len(more) + 8 > len(self.bytes):
             self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         while self.table.n > len(self.at):
-            self.at, self.lens, self.size, self.rest = (np.concatenate([a, np.empty_like(a)]) for a in (self.at, self.lens, self.size, self.rest))
+            self.at, self.lens, self.size, self.rest, self.met = (np.concatenate([a, np.zeros_like(a)]) for a in (self.at, self.lens, self.size, self.rest, self.met))
         self.pool[self.used : self.used + len(flat)] = flat
         self.bytes[self.filled : self.filled + len(more)] = more
         self.at[rows], self.lens[rows] = self.used + np.cumsum(lens) - lens, lens

@@ -32,14 +32,31 @@ def test_encoder_equals_the_library(path, spaces):
     assert [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:], strict=True)] == want
 
 
-def test_small_tables_change_nothing():
-    texts = pa.array(strange_texts()[:300])
+@pytest.mark.parametrize("same", [False, True])
+@pytest.mark.parametrize(("path", "spaces"), [(WORD, "dropped"), (BYTE, "joined")])
+def test_small_tables_change_nothing(monkeypatch, path, spaces, same):
+    if same:  # all words of equal first bytes collide
+        monkeypatch.setattr(words, "hash_spans", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    texts = ["aaaaaaaabcd aaaaaaaabce aaaaaaaabcf the the", "aaaaaaaabce aaaaaaaabce", "aaaaaaaabcd", *strange_texts()[: 60 if same else 300]]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    for most in (0, 5, 60, 400):
+        e = ChunkEncoder(path, spaces)
+        e.table.most = most
+        for step in (len(texts), 7, 2):
+            for k in range(0, len(texts), step):
+                ids, borders = e.encode(pa.array(texts[k : k + step]))
+                assert [ids[a:b].tolist() for a, b in zip(borders[:-1], borders[1:], strict=True)] == want[k : k + step]
+
+
+def test_a_full_table_keeps_the_words_met_most_often():
     e = ChunkEncoder(WORD, "dropped")
-    want = e.encode(texts)
-    e.table.most = 5
-    for _ in range(3):
-        got = e.encode(texts)
-        assert (got[0] == want[0]).all() and (got[1] == want[1]).all()
+    e.table.most = 30
+    e.encode(pa.array(["the the and and and " + " ".join(f"q{a}{b}" for a in "abcdef" for b in "ghijkl")]))
+    new = []
+    work = e.table.work
+    e.table.work = lambda some: new.extend(some.words()) or work(some)
+    e.encode(pa.array(["the and qag other"]))
+    assert sorted(new) == [b"other", b"qag"]
 
 
 def test_counter_equals_the_library():
