@@ -357,6 +357,25 @@ def test_rows_of_one_id_keep_the_same_row(spark):
         assert sorted((r.doc_id, str(r.text)) for r in set_join.keep_one_of_each(df).collect()) == [(1, "b c d e f" if zlib.crc32(b"b c d e f") < zlib.crc32(b"a b c d e") else "a b c d e"), (2, "None"), (3, "x")]
 
 
+def test_ids_are_not_broadcast(spark):
+    """As many ids as a driver of 1500 MB can't hold beside the rest: no broadcast is larger than the bitmaps of their hashes."""
+    docs = spark.range(1_200_000).selectExpr("if(id % 1000 = 0, null, id * 7) as doc_id", "id as bitmap", "id as _here")
+    ids = spark.range(900_000).selectExpr("if(id % 100 = 0, null, id * 14) as doc_id")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "24m")
+    try:
+        for how in ("left_semi", "left_anti"):
+            got, want = set_join.select_ids(docs, ids, how), docs.hint("merge").join(ids, "doc_id", how)
+            assert got.columns == docs.columns and got.count() == want.count() and got.exceptAll(want).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
+def test_copies_of_an_id_that_also_has_an_empty_text(spark):
+    rows = [(9, "a b c d e"), (9, " "), (200, "a b c d e"), (201, " "), (9, "")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
+    assert got == [(9, 0, 9), (9, 0, 9), (9, 2, 9), (200, 2, 9), (201, 0, 201)]
+
+
 def test_set_join_on_awkward_rows(spark, messy, messy_rows, empty):
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in set_join.jaccard_components(messy).collect())
     assert got == brute_components(messy_rows)
