@@ -361,7 +361,7 @@ def test_ids_are_not_broadcast(spark):
     """As many ids as a driver of 1500 MB can't hold beside the rest: no broadcast is larger than the bitmaps of their hashes."""
     docs = spark.range(1_200_000).selectExpr("if(id % 1000 = 0, null, id * 7) as doc_id", "id as bitmap", "id as _here")
     ids = spark.range(900_000).selectExpr("if(id % 100 = 0, null, id * 14) as doc_id")
-    spark.conf.set("spark.sql.maxBroadcastTableSize", "24m")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "10m")
     try:
         for how in ("left_semi", "left_anti"):
             got, want = set_join.select_ids(docs, ids, how), docs.hint("merge").join(ids, "doc_id", how)
@@ -370,6 +370,15 @@ def test_ids_are_not_broadcast(spark):
         spark.conf.unset("spark.sql.maxBroadcastTableSize")
 
 
+def test_copies_are_dropped_without_a_broadcast_of_ids(spark):
+    df = spark.createDataFrame([(k, f"a b c d e f {k // 2}") for k in range(200)] + [(7, "another one"), (None, "a b c d e f 1")], "doc_id long, text string").repartition(3)
+    kept = set_join.keep_one_of_each(df)
+    got = sorted(str(r.doc_id) for r in kept.collect())
+    assert got == sorted([*map(str, range(0, 200, 2)), "None"])
+    joins = re.findall(r"(BroadcastHashJoin|SortMergeJoin) \[(\w+)#", kept._jdf.queryExecution().optimizedPlan().toString() + kept._jdf.queryExecution().executedPlan().toString())
+    assert ("SortMergeJoin", "doc_id") in joins and ("BroadcastHashJoin", "doc_id") not in joins
+
+
 def test_copies_of_an_id_that_also_has_an_empty_text(spark):
     rows = [(9, "a b c d e"), (9, " "), (200, "a b c d e"), (201, " "), (9, "")]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
