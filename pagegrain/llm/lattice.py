@@ -2,9 +2,10 @@
 
 In each of several tables a vector is projected to random orthonormal directions, eight for each of some blocks, and every
 block is decoded to the nearest point of the E8 lattice. It lies in the cell of these points and probes cells in which one of them
-is replaced by a point around it. Vectors that meet in a cell are compared by exact cosine. The more vectors, the more blocks: cells
-get smaller, and tables and their size are chosen so that the recall stays. Cells are found from small rows without vectors;
-vectors are sent only to cells in which two or more meet, and a cell with very many rows is split to pairs of blocks.
+is replaced by a point around it. Vectors that meet in a cell are compared by exact cosine. Whether two vectors meet depends on these
+two alone: blocks, tables and cells are the same for any number of vectors, and other rows never add or take a link. Cells are found
+from small rows without vectors; vectors are sent only to cells in which two or more meet, and a cell with very many rows is split to
+pairs of blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from pagegrain.runtime import shared_folder, ship_package
 
 LEAST, SEED = 0.93, 20240817
 #: Blocks, tables, probes of a block, and the size of a cell (as a multiple of the share of a vector's length that eight of its
-#: dimensions have on average), up to a number of distinct vectors. Each misses less than 2 % of pairs at the threshold itself.
+#: dimensions have on average). Each misses less than 2 % of pairs at the threshold itself. The first is the default for any number
+#: of vectors; the other has smaller cells and 2.2 times their rows, and only a caller who passes it as ``options`` gets it.
+#: Beside each the number of distinct vectors up to which its cells are small.
 SETTINGS = ((1 << 24, (2, 8, 6, 0.64)), (1 << 62, (3, 12, 6, 0.8)))
 CELL = 2048
 #: Cells of at most so many rows are compared as lists of pairs, larger ones as matrices.
@@ -250,7 +253,7 @@ def _compare(t: pa.Table, least: float, options: tuple) -> pa.Table:
 PAIRS = 200_000
 
 
-def near_vectors(rows: DataFrame, least: float = LEAST, options: tuple[int, int, int, float] | None = None, cell_rows: int = CELL) -> DataFrame:
+def near_vectors(rows: DataFrame, least: float = LEAST, options: tuple[int, int, int, float] = SETTINGS[0][1], cell_rows: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id and kept of each row.
 
     Only vectors of equal label and length are compared. A label that is null, or a vector that is null, empty, zero or
@@ -258,8 +261,8 @@ def near_vectors(rows: DataFrame, least: float = LEAST, options: tuple[int, int,
     vectors are one class: each row links with every other row of its class, and with all rows of each linked class, so copies
     are counted but never expanded into pairs; a task first reduces its own copies to one row, so copies of a common vector
     never meet. Rows of one vec_id are one vertex. A pair at the threshold itself (within rounding) may go either way. Vectors of any
-    length are taken whole. Every row is indexed. ``options`` (blocks, tables, probes, scale) set the recall, by default from
-    the number of distinct vectors (tests measure each setting against brute force). Columns besides vec_id, embedding and
+    length are taken whole. Every row is indexed. ``options`` (blocks, tables, probes, scale) set the recall; the default
+    doesn't depend on the input (tests measure each setting against brute force). Columns besides vec_id, embedding and
     label are ignored whatever their names; an empty table gives an empty result.
     """
     spark = rows.sparkSession
@@ -275,7 +278,6 @@ def near_vectors(rows: DataFrame, least: float = LEAST, options: tuple[int, int,
     same.write.parquet(f"{folder}/classes")
     classes = spark.read.parquet(f"{folder}/classes")
     count = classes.count()
-    options = options or next(o for most, o in SETTINGS if count <= most)
     numbered = classes.select("rep", "label", "vector", "n")
     numbered.mapInArrow(lambda batches: _cells(batches, options), "cell long, rep long, own boolean").write.parquet(f"{folder}/cells")
     cells = spark.read.parquet(f"{folder}/cells")

@@ -113,6 +113,20 @@ def test_awkward_vectors(spark):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
+def test_links_do_not_depend_on_the_number_of_rows(spark, monkeypatch):
+    """Near vectors alone and among many others; a second setting that finds nothing must not come into use."""
+    monkeypatch.setattr(lattice, "SETTINGS", ((50, lattice.SETTINGS[0][1]), (1 << 62, (2, 1, 1, 0.001))))
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(16)
+    near = [(k, (centre + 0.05 * rng.standard_normal(16)).tolist(), 1) for k in range(12)]
+    far = [(100 + k, rng.standard_normal(16).tolist(), 2) for k in range(200)]
+    found = []
+    for rows in (near, near + far):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        found.append({r.vec_id: (r.n_links, r.component_id, r.kept) for r in lattice.near_vectors(df).collect() if r.vec_id < 100})
+    assert found[0] == found[1] and sum(n for n, _, _ in found[0].values()) > 100
+
+
 def test_many_equal_vectors(spark):
     df = spark.range(500).selectExpr("id as vec_id", "array(cast(1 as float), cast(id % 2 as float)) as embedding", "1 as label")
     got = lattice.near_vectors(df).collect()
