@@ -31,6 +31,8 @@ class ChunkEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
+        if hasattr(self.tok.model, "_resize_cache"):
+            self.tok.model._resize_cache(0)  # chunks are encoded once; the library keeps the caches of vocabularies that are gone
         self.joined, self.border = spaces == "joined", np.empty(0, bool)
         self.table = ChunkTable(self._encode, np.uint32, most=120_000)
 

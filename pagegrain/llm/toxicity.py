@@ -241,7 +241,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in blocks(batches, most=2 << 20):
+        for t in blocks(batches, most=1 << 20):
             yield from t.filter(pa.array(scores_of(model, t["text"].cast(pa.string())) < 0.5)).to_batches()
 
     return docs.mapInArrow(keep, docs.schema)

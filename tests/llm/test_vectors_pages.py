@@ -1,15 +1,19 @@
 """Operators 5 and 8, the pipeline, and the queries' registration."""
 
+import gc
 import json
 import random
+import weakref
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from pagegrain.llm import host_suffix, lattice
+from pagegrain.llm import common, host_suffix, lattice, set_join
+from pagegrain.llm.tokens import encoder
 from tests.llm.test_documents import brute_contamination
 
 SF = "/root/testdata/sf0.001"
@@ -263,3 +267,49 @@ def test_registration():
     names = list(entry.queries())
     assert [sum(x.startswith(f"op{n}_") for x in names) for n in range(1, 11)] == [1] * 10 and "pipeline" in names
     assert json.dumps(entry.oracle_sql())
+
+
+def test_pipeline_bounds_batches_by_bytes(spark):
+    """Whichever stage comes first, texts reach workers some megabytes at a time, and a limit that the session has stays."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(0, 3000, 1, 1).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 600) as text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"bytes": pa.array([b.nbytes], pa.int64())})
+
+    def largest():
+        return max(r.bytes for r in docs.mapInArrow(sizes, "bytes long").collect())
+
+    before = spark.conf.get(limit, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(limit)
+            assert largest() > 8 << 20
+            stage(spark, docs.limit(3), SF)
+            assert largest() < 3 << 20
+        spark.conf.set(limit, "5m")
+        corpus_pipeline.packing(spark, docs.limit(3), SF)
+        assert spark.conf.get(limit) == "5m"
+    finally:
+        spark.conf.unset(limit) if before is None else spark.conf.set(limit, before)
+
+
+def test_dropped_encoder_is_freed():
+    """Workers live on, and an encoder that another operator replaces is gone at once, not at some later collection."""
+    made = weakref.ref(encoder(public_tokenizers.path("byte_bpe_50k.json"), "joined"))
+    assert made() is not None
+    gc.collect()
+    gc.disable()
+    try:
+        common.only("another operator", list)
+        assert made() is None
+    finally:
+        gc.enable()
+
+
+def test_set_join_drops_what_another_operator_kept():
+    common.only(("a vocabulary", "joined"), lambda: [0] * 1000)
+    rows = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2], pa.int64()), "text": ["a b c d e", "a b c d e"]})
+    found = next(set_join._hash_rows(iter([rows])))
+    assert found["head"].to_pylist() == [1, 1] and not common._KEPT
