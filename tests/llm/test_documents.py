@@ -379,6 +379,16 @@ def test_copies_are_dropped_without_a_broadcast_of_ids(spark):
     assert ("SortMergeJoin", "doc_id") in joins and ("BroadcastHashJoin", "doc_id") not in joins
 
 
+def test_sets_are_written_once_for_all_copies(spark, monkeypatch):
+    """Copies in many tasks, as in a corpus that is repeated with other ids: a set for each wrote several times the input to disk."""
+    rows = [(100 * k + i, f"a b c d e f {i}") for k in range(12) for i in range(5)] + [(3, "another text of one id"), (900_000, "another text of one id")]
+    folders = []
+    monkeypatch.setattr(set_join, "drop_folder", folders.append)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(12)).collect())
+    assert got == brute_components(rows)
+    assert spark.read.parquet(f"{folders[0]}/sets").count() <= 7 and spark.read.parquet(f"{folders[0]}/classes").count() == 6
+
+
 def test_copies_of_an_id_that_also_has_an_empty_text(spark):
     rows = [(9, "a b c d e"), (9, " "), (200, "a b c d e"), (201, " "), (9, "")]
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect())
